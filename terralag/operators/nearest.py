@@ -52,7 +52,7 @@ class CellTree:
         any_value = reduce(lambda a, b: a | b, [F.col(d).isNotNull() for d in self.dims])
         # NaN-free doubles; -0.0 and 0.0 are one vector
         clean = rows.select(*[(F.col(d).cast("double") + F.lit(0.0)).alias(d) for d in self.dims], row_id)
-        self.vectors = (
+        self.vectors = cut_lineage(
             clean.filter(any_value)
             .groupBy(*self.dims)
             .agg(F.min(row_id).alias("rid"), F.count(F.lit(1)).alias("copies"))

@@ -55,13 +55,16 @@ def with_bucket(
     out: str = "_bucket",
     tie: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    splits: list[float] | None = None,
 ) -> DataFrame:
     """Add ``out``: an integer that never decreases along ``(order, tie)``.
 
     Where one ``order`` value fills whole buckets by itself, its rows are cut again by ``tie``.
+    Edges already known (:func:`bucket_splits`) save the pass that finds them.
     """
     value = _as_number(df, order)
-    splits = bucket_splits(df, value, rows_per_bucket)
+    if splits is None:
+        splits = bucket_splits(df, value, rows_per_bucket)
     if not splits:
         return df.withColumn(out, F.lit(0).cast("bigint"))
     hot = [a for a, b in zip(splits, splits[1:]) if b == math.nextafter(a, math.inf)]
@@ -168,9 +171,10 @@ def running_total(
     out: str,
     keys: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    splits: list[float] | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows strictly before this one in ``order``."""
-    cut = with_bucket(df, order, rows_per_bucket=rows_per_bucket)
+    cut = with_bucket(df, order, rows_per_bucket=rows_per_bucket, splits=splits)
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(across), F.lit(0))).drop("_sum")
