@@ -69,7 +69,8 @@ def month_end_series(df: DataFrame, ts: str, values: Sequence[str], keys: Sequen
     # the calendar is one row per key; exploding it costs no join of keys and months
     span = means.groupBy(*keys).agg(F.min("month_end").alias("a"), F.max("month_end").alias("b"))
     months = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))
-    calendar = span.filter("a IS NOT NULL").select(*keys, F.last_day(F.explode(months)).alias("month_end"))
+    starts = span.filter("a IS NOT NULL").select(*keys, F.explode(months).alias("_month"))
+    calendar = starts.select(*keys, F.last_day("_month").alias("month_end"))
     return calendar.join(means, [*keys, "month_end"], "left")
 
 

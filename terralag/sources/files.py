@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from terralag.functions.scalars import decimal_comma, parse_day
 from terralag.schemas import FX_TEXT, normalise
@@ -23,7 +23,7 @@ def read_decimal_comma_rates(spark: SparkSession, path: str) -> DataFrame:
 
 def read_indexed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV whose first, unnamed column is a saved row index; it becomes ``row_id``, the order key."""
-    full = StructType().add("row_id", "bigint")
+    full = StructType().add("row_id", LongType())
     for field in schema.fields:
         full = full.add(field)
     # the header of the index column is empty, so names come from the schema, not from the file
