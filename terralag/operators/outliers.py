@@ -1,7 +1,8 @@
 """Outlier treatment.
 
 A treatment is described by bounds per column. Bounds are scalars on the driver; applying them is
-one narrow filter or projection that Catalyst can push down.
+one narrow filter or projection that Catalyst can push down. The input is read once per bound step,
+so stage it first (``cut_lineage``) when it is expensive to compute.
 """
 
 from __future__ import annotations
@@ -23,18 +24,22 @@ def _columns(df: DataFrame, columns: Sequence[str] | None, target: str | None) -
     return [c for c in names if c != target]
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> Bounds:
+def iqr_bounds(
+    df: DataFrame, columns: Sequence[str], factor: float = 3.0, rows_at_most: int | None = None
+) -> Bounds:
     out: Bounds = {}
-    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75]).items():
+    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75], rows_at_most=rows_at_most).items():
         out[c] = (None, None) if q1 is None else (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return out
 
 
-def robust_z_bounds(df: DataFrame, columns: Sequence[str], threshold: float) -> Bounds:
+def robust_z_bounds(
+    df: DataFrame, columns: Sequence[str], threshold: float, rows_at_most: int | None = None
+) -> Bounds:
     """Median plus or minus ``threshold`` scaled MADs. Columns with MAD 0 get no bounds."""
     return {
         c: (m - threshold * d, m + threshold * d)
-        for c, (m, d) in medians_and_mads(df, columns).items()
+        for c, (m, d) in medians_and_mads(df, columns, rows_at_most).items()
         if d
     }
 
@@ -54,15 +59,17 @@ def null_outside(df: DataFrame, bounds: Bounds) -> DataFrame:
 def sequential_iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = 3.0) -> Bounds:
     """Bounds where each column is judged on the rows its predecessors kept (order matters)."""
     bounds: Bounds = {}
+    n = df.count()
     for c in columns:
-        bounds[c] = iqr_bounds(keep_inside(df, bounds), [c], factor)[c]
+        bounds[c] = iqr_bounds(keep_inside(df, bounds), [c], factor, n)[c]
     return bounds
 
 
 def sequential_z_bounds(df: DataFrame, columns: Sequence[str], threshold: float = 4.0) -> Bounds:
     bounds: Bounds = {}
+    n = df.count()
     for c in columns:
-        bounds.update(robust_z_bounds(keep_inside(df, bounds), [c], threshold))
+        bounds.update(robust_z_bounds(keep_inside(df, bounds), [c], threshold, n))
     return bounds
 
 

@@ -15,6 +15,7 @@ from terralag.plans.ingest import NEAREST_SQL, r
 from terralag.plans.registry import query
 from terralag.plans.stats import histogram_sql, spearman_sql
 from terralag.plans.tables import table
+from terralag.session import cut_lineage
 
 
 def norm_sql(a: str, b: str, eps: str = "1e-6") -> str:
@@ -364,7 +365,7 @@ def robust_scale(spark, d):
 
 @query(
     "J4_quantile_uniform",
-    f"""WITH q AS (SELECT i, quantile_cont(price, i / 99.0) AS v FROM {t.DENSE_SQL}, range(0, 100) r(i) GROUP BY i),
+    f"""WITH q AS (SELECT unnest(range(0, 100)) AS i, unnest(quantile_cont(price, {[i / 99 for i in range(100)]})) AS v FROM {t.DENSE_SQL}),
     u AS (SELECT v, min(i) / 99.0 AS g_first, max(i) / 99.0 AS g_last FROM q GROUP BY v),
     s AS (SELECT *, lead(v) OVER (ORDER BY v) AS v2, lead(g_first) OVER (ORDER BY v) AS g2 FROM u)
     SELECT okey, round(price, 4) AS price, round(CASE WHEN price <= (SELECT min(v) FROM u) THEN 0 WHEN price >= (SELECT max(v) FROM u) THEN 1
@@ -546,7 +547,9 @@ def flagship(spark, d):
     rows = point_features(
         t.points(spark, d), t.pixels(spark, d), "point_id", "pixel_id", ("px", "py"), ("x", "y"), FLAG_COLUMNS
     )
-    clean = out.remove_outliers_iqr(rows.select("grp", "target", *FLAG_COLUMNS), 3.0, FLAG_COLUMNS)
+    # the filter reads its input once per column, so the join result is staged
+    staged = cut_lineage(rows.select("grp", "target", *FLAG_COLUMNS))
+    clean = out.remove_outliers_iqr(staged, 3.0, FLAG_COLUMNS)
     return clean.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), *[r(F.avg(c)).alias(c) for c in FLAG_COLUMNS], r(F.avg("target")).alias("target")
     )
