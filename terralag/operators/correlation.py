@@ -11,13 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from terralag.operators.ordered import ROWS_PER_BUCKET, bucket_splits, running_total
 
 
-def _number(c: Column) -> Column:
-    """NULL instead of the NaN a constant column gives."""
-    return F.when(~F.isnan(c), c)
-
-
 def safe_corr(x, y) -> Column:
-    return _number(F.corr(x, y))
+    """Pearson correlation of complete pairs; NULL for a constant side, where ``corr`` may raise."""
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    return F.try_divide(F.regr_sxy(y, x), spread)
 
 
 def _pair_rows(agg: DataFrame, pairs: Sequence[tuple[str, str]], value: str) -> DataFrame:

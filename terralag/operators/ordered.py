@@ -3,7 +3,8 @@
 A plain ``Window.orderBy`` without partition keys, or with a key that holds a third of the rows,
 puts an unbounded sequence into one task. Here the order is first cut into value buckets of
 bounded size. A window then works inside ``(keys, bucket)`` and what crosses a bucket edge is one
-carry row per ``(keys, bucket)``.
+carry row per ``(keys, bucket)``. A table of at most ``rows_per_bucket`` rows needs no cut: then a
+plain window is already bounded.
 """
 
 from __future__ import annotations
@@ -106,8 +107,12 @@ def previous_row(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add ``prev_<c>`` for each column: the value one row earlier in ``(order, tie)``."""
-    cut = with_bucket(df, order, tie=tie, rows_per_bucket=rows_per_bucket)
     at = [order] + ([tie] if tie else [])
+    splits = bucket_splits(df, _as_number(df, order), rows_per_bucket)
+    if not splits:
+        w = Window.partitionBy(*keys).orderBy(*at)
+        return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
+    cut = with_bucket(df, order, tie=tie, rows_per_bucket=rows_per_bucket, splits=splits)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*at)
     payload = F.struct(*columns)
     last = cut.groupBy(*keys, "_bucket").agg(F.max_by(payload, F.struct(*at)).alias("_last"))
@@ -133,13 +138,21 @@ def fill_both_ways(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Forward fill, then backward fill what is left at the start."""
-    cut = with_bucket(df, order, tie=tie, rows_per_bucket=rows_per_bucket)
-    at = F.struct(order, *([tie] if tie else []))
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(order, *([tie] if tie else []))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    names = [order] + ([tie] if tie else [])
+    splits = bucket_splits(df, _as_number(df, order), rows_per_bucket)
+    if not splits:
+        w = Window.partitionBy(*keys).orderBy(*names)
+        before = w.rowsBetween(Window.unboundedPreceding, 0)
+        after = w.rowsBetween(0, Window.unboundedFollowing)
+        return df.withColumns(
+            {
+                c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after))
+                for c in columns
+            }
+        )
+    cut = with_bucket(df, order, tie=tie, rows_per_bucket=rows_per_bucket, splits=splits)
+    at = F.struct(*names)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
     seen = {c: F.when(F.col(c).isNotNull(), at) for c in columns}
     edge = cut.groupBy(*keys, "_bucket").agg(
         *[F.max_by(c, seen[c]).alias(f"_last_{c}") for c in columns],
@@ -174,6 +187,11 @@ def running_total(
     splits: list[float] | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows strictly before this one in ``order``."""
+    if splits is None:
+        splits = bucket_splits(df, _as_number(df, order), rows_per_bucket)
+    if not splits:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     cut = with_bucket(df, order, rows_per_bucket=rows_per_bucket, splits=splits)
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,6 +12,7 @@ from math import inf, prod
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terralag.operators.correlation import safe_corr
 from terralag.operators.quantiles import exact_quantiles
 
 
@@ -144,7 +145,7 @@ def variance_threshold(df: DataFrame, columns: Sequence[str], threshold: float =
 def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """``(column, f_score)`` of the univariate linear regressions on ``target``; rows are complete cases."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in [*columns, target]]).dropna()
-    agg = rows.agg(F.count(F.lit(1)).alias("n"), *[F.corr(c, target).alias(f"r_{i}") for i, c in enumerate(columns)])
+    agg = rows.agg(F.count(F.lit(1)).alias("n"), *[safe_corr(c, target).alias(f"r_{i}") for i, c in enumerate(columns)])
     cells = []
     for i, c in enumerate(columns):
         r2 = F.pow(F.col(f"r_{i}"), F.lit(2.0))

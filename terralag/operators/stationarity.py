@@ -105,5 +105,6 @@ def dickey_fuller_lag0(panel: DataFrame, key: str, ts: str, value: str) -> DataF
     rows = panel.withColumns({"_p": prev, "_d": F.col(value) - prev})
     sxx, syy, sxy = F.regr_sxx("_d", "_p"), F.regr_syy("_d", "_p"), F.regr_sxy("_d", "_p")
     dof = F.regr_count("_d", "_p") - 2
-    slope = sxy / sxx
-    return rows.groupBy(key).agg((slope / F.sqrt((syy - slope * sxy) / dof / sxx)).alias("statistic"))
+    slope = F.try_divide(sxy, sxx)
+    error = F.sqrt(F.try_divide(F.try_divide(syy - slope * sxy, dof), sxx))
+    return rows.groupBy(key).agg(F.try_divide(slope, error).alias("statistic"))

@@ -30,8 +30,11 @@ def read_indexed_csv(spark: SparkSession, path: str, schema: StructType) -> Data
     return read_csv(spark, path, full, enforceSchema=True)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return normalise(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, clean: bool = False) -> DataFrame:
+    """Parquet table. Tables this package writes hold no NaN; ``clean`` turns NaN of foreign files to
+    NULL, at the price that filters on floating-point columns no longer reach the scan."""
+    df = spark.read.parquet(path)
+    return normalise(df) if clean else df
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
