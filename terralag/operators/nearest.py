@@ -68,8 +68,9 @@ class CellTree:
         self.origin = [low if low is not None else 0.0 for low in lows]
         self.span = max([b - a for a, b in zip(lows, highs) if a is not None] + [0.0]) or 1.0
         max_level = MAX_BITS // self.bits
-        effective = self.bits * min(len(self.dims), 2)
-        last = min(max_level, 1 + math.ceil(math.log2(max(self.size / leaf_rows, 1)) / effective))
+        # depth for evenly spread vectors; clustered ones get more levels below
+        effective = self.bits * len(self.dims)
+        last = min(max_level, max(1, math.ceil(math.log2(max(self.size / leaf_rows, 1)) / effective)))
         tables, first = [], 0
         self.level_sizes: dict[int, int] = {}
         while True:

@@ -143,10 +143,12 @@ def fill_both_ways(
     if not splits:
         w = Window.partitionBy(*keys).orderBy(*names)
         before = w.rowsBetween(Window.unboundedPreceding, 0)
-        after = w.rowsBetween(0, Window.unboundedFollowing)
+        # only leading gaps are left after the carry, and those take the first value of the sequence;
+        # a frame from the current row to the end would cost quadratic time
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.withColumns(
             {
-                c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after))
+                c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(whole))
                 for c in columns
             }
         )

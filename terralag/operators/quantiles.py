@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-EXACT_LIMIT = 1_000_000
+EXACT_LIMIT = 1_000_000  # distinct values one task may sort
+PERCENTILE_LIMIT = 200_000  # rows up to which the built-in aggregate is the cheaper way
 _ACCURACY = 100_000
 
 
@@ -20,43 +23,80 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column, NULLs left out.
 
+    Small columns take one ``percentile`` aggregate. Up to ``limit`` rows, values are counted by hash
+    aggregation and only the counts are sorted. Beyond it each order statistic is bracketed by
+    bounded-memory sketches until at most ``limit`` distinct values are left inside the bracket.
     A known bound on the number of rows (``rows_at_most``) can save the counting pass.
-
-    Up to ``limit`` rows one ``percentile`` aggregate answers everything. Beyond it each order
-    statistic is bracketed by bounded-memory sketches until at most ``limit`` distinct values are
-    left inside the bracket; only those are counted and sorted.
     """
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     if not exprs:
         return {}
     exprs = {name: c.cast("double") for name, c in exprs.items()}
     names = list(exprs)
-    if rows_at_most is not None and rows_at_most <= limit:
+    small = min(limit, PERCENTILE_LIMIT) if len(probs) <= 8 else 0
+    if rows_at_most is not None and rows_at_most <= small:
         counts = [rows_at_most] * len(names)
     else:
-        counts = df.agg(*[F.count(exprs[n]).alias(str(i)) for i, n in enumerate(names)]).first()
-    small = [n for i, n in enumerate(names) if counts[i] <= limit]
-    out: dict[str, list[float | None]] = {}
-    if small:
+        counts = list(df.agg(*[F.count(exprs[n]).alias(str(i)) for i, n in enumerate(names)]).first())
+    out: dict[str, list[float | None]] = {n: [None] * len(probs) for i, n in enumerate(names) if not counts[i]}
+    tiny = [n for i, n in enumerate(names) if n not in out and counts[i] <= small]
+    if tiny:
         levels = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(exprs[n], levels).alias(str(i)) for i, n in enumerate(small)]).first()
-        for i, n in enumerate(small):
+        row = df.agg(*[F.percentile(exprs[n], levels).alias(str(i)) for i, n in enumerate(tiny)]).first()
+        for i, n in enumerate(tiny):
             out[n] = list(row[i]) if row[i] is not None else [None] * len(probs)
-    for i, n in enumerate(names):
+    sizes = dict(zip(names, counts))
+    middle = [n for n in names if n not in out and sizes[n] <= limit]
+    if middle:
+        out |= _from_counts(df, {n: exprs[n] for n in middle}, sizes, probs)
+    for n in names:
         if n not in out:
-            out[n] = _bracketed(df.select(exprs[n].alias("v")).filter("v IS NOT NULL"), counts[i], probs, limit)
+            out[n] = _bracketed(df.select(exprs[n].alias("v")).filter("v IS NOT NULL"), sizes[n], probs, limit)
+    return {n: out[n] for n in names}
+
+
+def _spots(n: int, probs: Sequence[float]) -> list[float]:
+    return [(n - 1) * p for p in probs]
+
+
+def _interpolate(spots: Sequence[float], value_at) -> list[float]:
+    out = []
+    for h in spots:
+        low, high = value_at(math.floor(h)), value_at(math.ceil(h))
+        out.append(low + (high - low) * (h - math.floor(h)))
     return out
 
 
+def _from_counts(df: DataFrame, exprs: Mapping[str, Column], sizes: Mapping[str, int], probs) -> dict[str, list[float]]:
+    """All columns in one job: counts per distinct value, running totals, the rows at the wanted ranks."""
+    names = list(exprs)
+    cells = [F.struct(F.lit(i).alias("c"), exprs[n].alias("v")) for i, n in enumerate(names)]
+    counted = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").groupBy("c", "v").count()
+    w = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("count").over(w))
+    ranked = ranked.withColumns(
+        {"_a": (F.col("upto") - F.col("count") - 1).cast("double"), "_b": (F.col("upto") - 1).cast("double")}
+    )
+    wanted = {float(f(h)) for n in names for h in _spots(sizes[n], probs) for f in (math.floor, math.ceil)}
+    edges = [-math.inf, *sorted(wanted), math.inf]
+    # a value holds a wanted rank when its first and last rank fall into different buckets
+    hits = Bucketizer(splitsArray=[edges, edges], inputCols=["_a", "_b"], outputCols=["_p", "_q"]).transform(ranked)
+    found: dict[int, list[tuple[int, float]]] = {}
+    for row in hits.filter(F.col("_p") < F.col("_q")).select("c", "upto", "v").orderBy("c", "upto").collect():
+        found.setdefault(row["c"], []).append((row["upto"], row["v"]))
+
+    def reader(i: int):
+        ends = [upto for upto, _ in found[i]]
+        return lambda rank: found[i][bisect_right(ends, rank)][1]
+
+    return {n: _interpolate(_spots(sizes[n], probs), reader(i)) for i, n in enumerate(names)}
+
+
 def _bracketed(values: DataFrame, n: int, probs: Sequence[float], limit: int) -> list[float]:
-    spots = [(n - 1) * p for p in probs]
+    spots = _spots(n, probs)
     wanted = sorted({i for h in spots for i in (math.floor(h), math.ceil(h))})
     stats = {i: _order_statistic(values, n, i, limit) for i in wanted}
-    result = []
-    for h in spots:
-        low, high = stats[math.floor(h)], stats[math.ceil(h)]
-        result.append(low + (high - low) * (h - math.floor(h)))
-    return result
+    return _interpolate(spots, stats.__getitem__)
 
 
 def _order_statistic(values: DataFrame, n: int, index: int, limit: int) -> float:

@@ -105,25 +105,33 @@ def quantile_transform(df: DataFrame, columns: Sequence[str], n: int = 100, outp
             uniform = F.when(x.isNotNull(), F.lit(0.0))
             out = out.withColumn(c, probit(uniform) if output == "normal" else uniform)
             continue
+        # one lookup struct per segment; each step is its own projection, so nothing is computed twice
+        segments = F.array(
+            *[
+                F.struct(
+                    F.lit(x0).alias("x0"),
+                    F.lit(x1).alias("x1"),
+                    F.lit(last[x0]).alias("g0"),
+                    F.lit(first[x1]).alias("g1"),
+                    F.lit((first[x0] + last[x0]) / 2).alias("middle"),
+                )
+                for x0, x1 in zip(xs, xs[1:])
+            ]
+        )
         cut = Bucketizer(splits=[-inf, *xs, inf], inputCol="_x", outputCol="_k", handleInvalid="keep")
-        out = cut.transform(out.withColumn("_x", x))
-        k = F.col("_k").cast("int")
-
-        def at(items: Sequence[float], index: Column) -> Column:
-            return F.element_at(F.array(*[F.lit(float(i)) for i in items]), index)
-
-        inner = F.greatest(F.least(k, F.lit(len(xs) - 1)), F.lit(1))
-        x0, x1 = at(xs, inner), at(xs, inner + 1)
-        g0, g1 = at([last[v] for v in xs], inner), at([first[v] for v in xs], inner + 1)
-        middle = at([(first[v] + last[v]) / 2 for v in xs], inner)
+        found = cut.transform(out.withColumn("_x", x))
+        inner = F.greatest(F.least(F.col("_k").cast("int"), F.lit(len(xs) - 1)), F.lit(1))
+        found = found.withColumn("_s", F.element_at(segments, inner))
+        share = F.try_divide(F.col("_x") - F.col("_s.x0"), F.col("_s.x1") - F.col("_s.x0"))
         uniform = (
-            F.when(F.col("_x").isNull(), None)
-            .when(F.col("_x") <= xs[0], F.lit(0.0))
+            F.when(F.col("_x") <= xs[0], F.lit(0.0))
             .when(F.col("_x") >= xs[-1], F.lit(1.0))
-            .when(F.col("_x") == x0, middle)
-            .otherwise(g0 + (g1 - g0) * (F.col("_x") - x0) / (x1 - x0))
+            .when(F.col("_x") == F.col("_s.x0"), F.col("_s.middle"))
+            .when(F.col("_x").isNotNull(), F.col("_s.g0") + (F.col("_s.g1") - F.col("_s.g0")) * share)
         )
-        out = out.withColumn(c, probit(uniform) if output == "normal" else uniform).drop("_x", "_k")
+        out = found.withColumn(c, uniform).drop("_x", "_k", "_s")
+        if output == "normal":
+            out = out.withColumn(c, probit(F.col(c)))
     return out
 
 

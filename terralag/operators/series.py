@@ -111,10 +111,10 @@ def fill_panel(panel: DataFrame, key: str, ts: str, column: str) -> DataFrame:
     """Forward then backward fill inside each (monthly, so short) series."""
     w = Window.partitionBy(key).orderBy(ts)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return panel.withColumn(
         column,
-        F.coalesce(F.last(column, ignorenulls=True).over(before), F.first(column, ignorenulls=True).over(after)),
+        F.coalesce(F.last(column, ignorenulls=True).over(before), F.first(column, ignorenulls=True).over(whole)),
     )
 
 

@@ -37,12 +37,12 @@ PIXEL_COLUMNS = {
     "pixel_id": "c_custkey",
     "x": "c_acctbal",
     "y": "CAST(c_nationkey AS DOUBLE)",
-    "B02": "c_custkey % 700 + 40",
-    "B03": "c_custkey % 1000",
+    "B02": "(c_custkey * 11) % 700 + 40",
+    "B03": "(c_custkey * 31) % 1000",
     "B04": "c_nationkey * 100 + c_custkey % 50",
-    "B08": "c_custkey % 3000 + 20",
-    "B11": "(c_custkey * 7) % 2900",
-    "B12": "(c_custkey * 13) % 2500",
+    "B08": "(c_custkey * 53) % 3000 + 20",
+    "B11": "(c_custkey * 137) % 2900",
+    "B12": "(c_custkey * 113) % 2500",
 }
 PIXELS_SQL = _as_sql(PIXEL_COLUMNS, "customer")
 
@@ -76,7 +76,7 @@ PRICE_COLUMNS = {
     "produto": "o_orderpriority",
     "sigla_uf": "o_orderstatus",
     "venda": "o_totalprice / 70000",
-    "compra": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 90000 + (o_custkey % 100) / 300.0 END",
+    "compra": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 90000 + (o_custkey % 100) / 3e2 END",
 }
 PRICES_SQL = _as_sql(PRICE_COLUMNS, "orders")
 PRODUCTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -113,8 +113,8 @@ SCENES_SQL = _as_sql({**SCENE_COLUMNS, "scene_id": "CAST(o_orderkey AS VARCHAR)"
 MODEL_FEATURES = ["B02", "B03", "B04", "B08", "B11", "B12"]
 MODEL_COLUMNS = {
     **PIXEL_COLUMNS,
-    "uhi": "1 + 0.05 * (c_custkey % 3000 + 20 - c_nationkey * 100) / (c_custkey % 3000 + 20 + c_nationkey * 100)"
-    " + 0.00001 * ((c_custkey * 7) % 2900) + 0.000001 * c_acctbal",
+    "uhi": "1 + 5e-2 * ((c_custkey * 53) % 3000 + 20 - c_nationkey * 100) / ((c_custkey * 53) % 3000 + 20 + c_nationkey * 100)"
+    " + 1e-5 * ((c_custkey * 137) % 2900) + 1e-6 * c_acctbal",
 }
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terralag.operators import ordered
+from terralag.operators import ordered, quantiles
 from terralag.operators.correlation import average_ranks, correlation_p_value, spearman_by_group, spearman_matrix
 from terralag.operators.quantiles import exact_quantiles
 
@@ -92,8 +92,9 @@ def test_p_values():
     assert correlation_p_value(0.3, 2) is None
 
 
-@pytest.mark.parametrize("limit", [10**6, 30])
-def test_exact_quantiles(rows, spark, limit):
+@pytest.mark.parametrize("limit,small", [(10**6, 10**6), (10**6, 0), (30, 10**6)])
+def test_exact_quantiles(rows, spark, monkeypatch, limit, small):
+    monkeypatch.setattr(quantiles, "PERCENTILE_LIMIT", small)
     df, pdf = rows
     probs = [0.0, 0.05, 0.25, 0.5, 0.731, 0.95, 1.0]
     got = exact_quantiles(df, ["v", "day", "gap"], probs, limit=limit)
@@ -101,6 +102,14 @@ def test_exact_quantiles(rows, spark, limit):
         assert got[c] == pytest.approx(np.nanquantile(pdf[c].to_numpy(float), probs), abs=1e-12)
 
 
+def test_many_quantiles_of_tied_values(rows, spark):
+    df, pdf = rows
+    probs = [i / 99 for i in range(100)]
+    got = exact_quantiles(df, ["day", "v"], probs)
+    for c in got:
+        assert got[c] == pytest.approx(np.quantile(pdf[c].to_numpy(float), probs), abs=1e-12)
+
+
 def test_quantiles_of_a_small_list(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 7, 11, 16)], "x double")
     assert exact_quantiles(df, ["x"], [0.25, 0.75])["x"] == [2.5, 10.0]
