@@ -43,7 +43,6 @@ HEADLINE = [
     "J4_quantile_normal",
     "K2_random_forest",
     "L5_cross_validate_mean",
-    "L10_method_matrix",
     "M1_order_search",
     "M4_rolling_forecast",
     "feature_table_by_group",

@@ -53,6 +53,31 @@ def spearman_by_group(pairs: DataFrame, group: str, rows_per_bucket: int = ROWS_
     return ranked.groupBy(group).agg(safe_corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def conditional_ranks(
+    df: DataFrame,
+    column: str,
+    groups: Sequence[tuple[Column, Column]],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """``(v, ranks)``: per distinct value of ``column`` its average rank in each group.
+
+    A group is (which rows count, what value the column takes there); the value may only depend on
+    ``column``. The table is read once and only distinct values are expanded by group and sorted.
+    """
+    splits = bucket_splits(df, F.col(column).cast("double"), rows_per_bucket)
+    counts = df.groupBy(column).agg(*[F.count_if(rows).alias(f"_n{i}") for i, (rows, _) in enumerate(groups)])
+    cells = [
+        F.struct(F.lit(i).alias("g"), value.cast("double").alias("w"), F.col(f"_n{i}").alias("n"))
+        for i, (_, value) in enumerate(groups)
+    ]
+    long = counts.select(F.col(column).alias("v"), F.inline(F.array(*cells))).filter("n > 0 AND w IS NOT NULL")
+    totals = long.groupBy("g", "w").agg(F.sum("n").alias("n"))
+    ranked = running_total(totals, "n", "w", "_before", ["g"], splits=splits)
+    ranked = ranked.select("g", "w", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
+    per_value = [F.max(F.when(F.col("g") == i, F.col("rank"))) for i in range(len(groups))]
+    return long.join(ranked, ["g", "w"]).groupBy("v").agg(F.array(*per_value).alias("ranks"))
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(a, b, rho)`` for each pair, average ranks for ties, complete per pair."""
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])

@@ -44,9 +44,10 @@ def score(df: DataFrame, label: str, metrics: Sequence[str], prediction: str = "
     return row.asDict()
 
 
-def _run(tasks: Sequence[Callable], parallelism: int) -> list:
+def _run(df: DataFrame, tasks: Sequence[Callable], parallelism: int) -> list:
+    inherit = inheritable_thread_target(df.sparkSession)
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
 def fold_scores(
@@ -64,7 +65,7 @@ def fold_scores(
         model = pipeline().fit(df.filter(F.col(fold) != i))
         return {"fold": i, **score(model.transform(df.filter(F.col(fold) == i)), label, metrics)}
 
-    return _run([lambda i=i: one(i) for i in range(folds)], parallelism)
+    return _run(df, [lambda i=i: one(i) for i in range(folds)], parallelism)
 
 
 def summarise_folds(scores: Sequence[Mapping], metrics: Sequence[str] = FOLD_METRICS) -> dict:
@@ -150,7 +151,7 @@ def search(
         return (number, config["model"], config.get("scaler"), params, names, *values, failed)
 
     try:
-        rows = _run([lambda n=n, c=c: one(n, c) for n, c in enumerate(configs, 1)], parallelism)
+        rows = _run(df, [lambda n=n, c=c: one(n, c) for n, c in enumerate(configs, 1)], parallelism)
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, SEARCH_SCHEMA)
@@ -188,7 +189,7 @@ def model_zoo_report(
         return [(name, s["fold"], *[s[m] for m in metrics]) for s in scores]
 
     try:
-        parts = _run([lambda n=n, p=p: one(n, p) for n, p in zoo.items()], parallelism)
+        parts = _run(df, [lambda n=n, p=p: one(n, p) for n, p in zoo.items()], parallelism)
     finally:
         data.unpersist()
     rows = [row for part in parts for row in part]
