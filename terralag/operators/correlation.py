@@ -79,26 +79,35 @@ def conditional_ranks(
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``(a, b, rho)`` for each pair, average ranks for ties, complete per pair."""
+    """``(a, b, rho)`` for each pair, average ranks for ties, complete per pair.
+
+    A column is ranked once over all its rows and once more per other column that has gaps; all its
+    rankings come from one pass and are joined back by one join.
+    """
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
     nulls = doubles.agg(*[F.count_if(F.col(c).isNull()).alias(str(i)) for i, c in enumerate(columns)]).first()
-    if not any(nulls):
-        # without NULLs a column has one rank for all its pairs: p joins, then one aggregate
-        ranked = doubles
-        for c in columns:
-            ranked = ranked.join(average_ranks(doubles, c, f"rank_{c}", (), rows_per_bucket), c)
-        agg = ranked.agg(
-            *[safe_corr(f"rank_{a}", f"rank_{b}").alias(f"p_{i}") for i, (a, b) in enumerate(pairs)]
-        )
-        return _pair_rows(agg, pairs, "rho")
-    cells = [
-        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    rho = spearman_by_group(doubles.select(F.inline(F.array(*cells))), "pair", rows_per_bucket)
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return rho.select(F.element_at(names, F.col("pair") + 1).alias("_p"), "rho").select("_p.a", "_p.b", "rho")
+    gapped = [c for c, n in zip(columns, nulls) if n]
+    ranked, place = doubles, {}
+    for c in columns:
+        others = [None, *[o for o in gapped if o != c]]
+        place |= {(c, o): i for i, o in enumerate(others, 1)}
+        if len(others) == 1:
+            plain = average_ranks(doubles, c, "rank", (), rows_per_bucket)
+            ranks = plain.select(F.col(c).alias(f"_v_{c}"), F.array("rank").alias(f"_r_{c}"))
+        else:
+            groups = [(F.lit(True) if o is None else F.col(o).isNotNull(), F.col(c)) for o in others]
+            ranks = conditional_ranks(doubles, c, groups, rows_per_bucket)
+            ranks = ranks.withColumnsRenamed({"v": f"_v_{c}", "ranks": f"_r_{c}"})
+        same = ranked[c].eqNullSafe(ranks[f"_v_{c}"]) if c in gapped else ranked[c] == ranks[f"_v_{c}"]
+        ranked = ranked.join(ranks, same, "left")
+
+    def rank(c: str, other: str) -> Column:
+        # NULL where either side is missing: an unranked value leaves the pair incomplete
+        return F.element_at(f"_r_{c}", place[(c, other if other in gapped else None)])
+
+    agg = ranked.agg(*[safe_corr(rank(a, b), rank(b, a)).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)])
+    return _pair_rows(agg, pairs, "rho")
 
 
 def spearman_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
