@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralag.llm import line_dedup, simhash_dedup
+from terralag.llm import langid, line_dedup, packing, pii, simhash_dedup, suffix_tree, token_count
 from terralag.llm.common import slices, table, texts
 
 QUERIES = {}
@@ -70,3 +71,32 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     return marked.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=1024)
+    return packing.pieces(packed)
+
+
+@query("op4_pii_anchors")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(4, 2)))
+    return langid.predict(docs.select("doc_id", "text", langid.held_out(4, 2).alias("held_out")), model).drop("text")
+
+
+@query("op3_suffix_tree_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.language_model_scores(table(spark, sf_dir, "documents"), langid.held_out(7, 2))
