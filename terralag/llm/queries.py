@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralag.llm import langid, line_dedup, packing, pii, simhash_dedup, suffix_tree, token_count
+from terralag.llm import decontaminate, embedding_dedup, html_text, langid, line_dedup, packing, pii, simhash_dedup, suffix_tree, token_count
 from terralag.llm.common import slices, table, texts
 
 QUERIES = {}
@@ -100,3 +100,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_tree_scores")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.language_model_scores(table(spark, sf_dir, "documents"), langid.held_out(7, 2))
+
+
+@query("op2_embedding_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query("op1_benchmark_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_html_layout_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
