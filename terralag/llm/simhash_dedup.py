@@ -90,13 +90,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _stars(radius: int):
+def _stars(radius: int, nearest: bool):
+    """Stars to the smallest fingerprint per linked group; with ``nearest`` also a link to each one's nearest."""
+
     def run(batches):
         for batch in batches:
             a, b = [], []
             for fps in batch.column("fps").to_pylist():
                 fps = np.unique(np.array(fps, dtype=np.int64))
-                near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= radius
+                bits = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64))
+                near = bits <= radius
                 label = np.arange(len(fps))
                 while True:
                     new = np.where(near, label[None, :], len(fps)).min(axis=1)
@@ -106,13 +109,19 @@ def _stars(radius: int):
                 move = label != np.arange(len(fps))
                 a.append(fps[move])
                 b.append(fps[label[move]])
+                if nearest and len(fps) > 1:
+                    np.fill_diagonal(bits, BITS + 1)
+                    best = bits.argmin(axis=1)
+                    close = bits[np.arange(len(fps)), best] <= radius
+                    a.append(fps[close])
+                    b.append(fps[best[close]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_LIMIT, nearest: bool = False) -> DataFrame:
     """``fps(fp)`` of distinct longs to links ``(a, b)`` with the components of all pairs in the radius."""
     masks, rows, found = dict(enumerate(covering_masks(radius))), fps.select("fp"), []
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in masks.items()])
@@ -121,7 +130,7 @@ def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_LIMIT
         size = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
         met = stage(rows.join(size, ["t", "key"]), "buckets")
         small = met.where(F.col("n") <= bucket_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-        found.append(small.select("fps").mapInArrow(_stars(radius), "a long, b long"))
+        found.append(small.select("fps").mapInArrow(_stars(radius, nearest), "a long, b long"))
         hot = met.where(F.col("n") > bucket_limit)
         used = [r.t for r in hot.select("t").distinct().collect()]
         if not used:
@@ -149,8 +158,73 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3, bucket_limi
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+def _sketch(batches):
+    """Text hash, fingerprints of word pairs and of distinct words, and number of distinct 5-word shingles."""
+    for part in slices(batches):
+        ts = texts(part)
+        pairs, words = fold([shingle_hashes(t, 2) for t in ts]), fold([list(set(shingle_hashes(t, 1))) for t in ts])
+        sizes = [len(set(shingle_hashes(t, 5))) for t in ts]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(pairs), pa.array(words), pa.array(sizes, pa.int64())], names=["doc_id", "th", "pairs", "words", "size"])
+
+
+def _shingles(batches):
+    """The distinct 5-word shingles of each text, hashed to 32 bits and sorted."""
+    for part in slices(batches):
+        found = [np.unique(np.array(shingle_hashes(t, 5), np.uint64).astype(np.uint32)).tobytes() for t in texts(part)]
+        yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(found, pa.binary())], names=["th", "sh"])
+
+
+def _similar(threshold: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, threshold: float = 0.8, radius: int = 5) -> DataFrame:
+    """``(doc_id, th, keep_id)``: groups of equal texts and of texts whose 5-word shingles are similar.
+
+    Candidates come from covering tables over two fingerprints, of word pairs and of distinct words, which move
+    little when a text is edited; each fingerprint is linked to its bucket's smallest and to its nearest. The exact
+    Jaccard similarity of the 5-word shingles decides. ``th`` is ``xxhash64`` of the text, ``keep_id`` the smallest
+    doc_id of the group.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    seen = stage(keyed.mapInArrow(_sketch, "doc_id long, th long, pairs long, words long, size long"), "sketches")
+    nodes = stage(seen.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("pairs").alias("pairs"), F.first("words").alias("words"), F.first("size").alias("size")), "nodes")
+    found = []
+    for kind in ("pairs", "words"):
+        first = stage(nodes.groupBy(F.col(kind).alias("fp")).agg(F.min("th").alias("th"), F.count("*").alias("n")), "fps")
+        links = near_links(first, radius, nearest=True).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
+        ends = links.join(first.selectExpr("fp a", "th ta"), "a").join(first.selectExpr("fp b", "th tb"), "b")
+        found.append(ends.selectExpr("ta a", "tb b"))
+        same = nodes.withColumnRenamed(kind, "fp").join(first.where("n > 1").selectExpr("fp", "th tb"), "fp")
+        found.append(same.where("th <> tb").selectExpr("th a", "tb b"))
+    pairs = union_all(found).selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
+    size = nodes.select("th", "size")
+    pairs = pairs.join(size.selectExpr("th a", "size na"), "a").join(size.selectExpr("th b", "size nb"), "b")
+    pairs = stage(pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), "pairs")
+    met = pairs.selectExpr("a th").unionByName(pairs.selectExpr("b th")).distinct()
+    one = nodes.join(met, "th").select("th", "first_id")
+    shingles = keyed.join(one.withColumnRenamed("th", "t"), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("th", "text")
+    shingles = stage(shingles.mapInArrow(_shingles, "th long, sh binary").dropDuplicates(["th"]), "shingles")
+    both = pairs.join(shingles.selectExpr("th a", "sh sa"), "a").join(shingles.selectExpr("th b", "sh sb"), "b")
+    labels = components(both.mapInArrow(_similar(threshold), "a long, b long")).withColumnRenamed("node", "th")
+    linked = stage(nodes.select("th", "first_id").join(labels, "th"), "labels")
+    low = linked.groupBy("label").agg(F.min("first_id").alias("low_id"))
+    best = linked.join(low, "label").select("th", "low_id")
+    ids = nodes.join(best, "th", "left").select("th", F.coalesce("low_id", "first_id").alias("keep_id"))
+    return seen.join(ids, "th").select("doc_id", "th", "keep_id")
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, radius: int = 5) -> DataFrame:
     """``docs`` without the documents whose group has a smaller doc_id; columns as they are."""
-    groups = simhash_groups(docs, width, radius)
-    out = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(out, docs["doc_id"] == out["doc_id"], "left_anti")
+    groups = similar_groups(docs, threshold, radius).where("doc_id <> keep_id").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    same = (docs["doc_id"].cast("long") == groups["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == groups["_th"])
+    return docs.join(groups, same, "left_anti")
