@@ -55,6 +55,7 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _STOP = re.compile(r"[\"'>]")
 _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_SPACE = re.compile(r"(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -161,6 +162,8 @@ def tree(page: str) -> Node:
             pop_to(*IMPLIED[name])
         start = attributes.get("start", "1") if name == "ol" else "1"
         node = Node(name, _visible(name, attributes), int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
+        if not node.shown and name in BLOCK and _SPACE.search(attributes.get("style", "")):
+            stack[-1].children.append(Node(name))  # takes its place all the same
         stack[-1].children.append(node)
         if name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at) if name not in gone else None
