@@ -45,6 +45,25 @@ def _difference_poly(d: int, seasonal: int, period: int) -> np.ndarray:
     return poly
 
 
+def residual_start(n: int, order: Order, period: int = PERIOD) -> int:
+    """Months of a series of ``n`` that the fit of ``order`` spends before its first residual."""
+    p, d, q, sp, sd, sq = order
+    lost = d + period * sd
+    ar, ma = max(p, period * sp), max(q, period * sq)
+    start = min(max(ar, ma) + 1, (n - lost) // 3) + ma if ma else 0
+    return lost + max(start, ar)
+
+
+def common_start(n: int, orders: Sequence[Order], period: int = PERIOD) -> int:
+    """The first month that all compared orders have a residual for.
+
+    Information criteria are only comparable over the same months, so orders that would leave less than a
+    third of the series are not compared, and the others only from this month on.
+    """
+    starts = [residual_start(n, o, period) for o in orders]
+    return max([s for s in starts if n - s >= max(n // 3, 3)], default=n)
+
+
 class SeasonalFit:
     """One fitted model; raises ``ValueError`` when the series is too short for the order."""
 
@@ -91,6 +110,14 @@ class SeasonalFit:
         self.aic = m * math.log(max(sse, 1e-300) / m) + 2 * (k + 1)
         self.offset = lost + self.start  # position of the first residual in y
 
+    def aic_from(self, first: int) -> float:
+        """The criterion over the months from ``first`` on; a change of unit shifts it for all orders alike."""
+        resid = self.resid[first - self.offset :]
+        if first < self.offset or len(resid) < len(self.coef) + 3:
+            raise ValueError("series too short")
+        m = len(resid)
+        return m * math.log(max(float(resid @ resid), 1e-300) / m) + 2 * (len(self.coef) + 1)
+
     @staticmethod
     def _lags(v: np.ndarray, lags, start: int) -> np.ndarray:
         rows = np.arange(start, len(v))
@@ -128,10 +155,13 @@ def _spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
-def _clean_x(x, use: bool):
+def _clean_x(x, use: bool, known: int | None = None):
+    """Gaps take the value before them; leading gaps the first value among the first ``known`` months."""
     if not use or x is None:
         return None
-    return pd.Series(np.asarray(x, dtype=float)).ffill().bfill().fillna(0.0).to_numpy()
+    filled = pd.Series(np.asarray(x, dtype=float)).ffill()
+    seen = filled.iloc[:known].dropna()
+    return filled.fillna(seen.iloc[0] if len(seen) else 0.0).to_numpy()
 
 
 def fit_orders(
@@ -146,7 +176,8 @@ def fit_orders(
 ) -> DataFrame:
     """``(key, p, d, q, sp, sd, sq, aic)`` for each order that could be fitted.
 
-    ``exog_keys`` limits the regressor to some series.
+    All orders of a series are judged on the same months, see :func:`common_start`. ``exog_keys`` limits
+    the regressor to some series.
     """
     orders = [tuple(o) for o in orders]
     blocks = math.ceil(len(orders) / block)
@@ -160,9 +191,10 @@ def fit_orders(
             rows = []
             for name, y, x, b in zip(batch[key], batch["y"], batch["x"], batch["block"]):
                 xs = _clean_x(x, allowed is None or name in allowed)
+                first = common_start(len(y), orders)
                 for order in orders[b * block : (b + 1) * block]:
                     try:
-                        rows.append((name, *order, SeasonalFit(y, order, xs).aic))
+                        rows.append((name, *order, SeasonalFit(y, order, xs).aic_from(first)))
                     except (ValueError, np.linalg.LinAlgError):
                         continue  # an order the series cannot carry is skipped
             yield pd.DataFrame(rows, columns=[key, *ORDER_FIELDS, "aic"])
@@ -221,10 +253,10 @@ def _forecast_at(arrays, best, key, ts, origins, exog_keys, horizon) -> DataFram
             rows = []
             for r in batch.to_dict("records"):
                 y = np.asarray(r["y"], dtype=float)
-                xs = _clean_x(r["x"], allowed is None or r[key] in allowed)
                 order = tuple(int(r[f]) for f in ORDER_FIELDS)
                 history = list(y[: r["pos"]])
                 for pos in range(r["pos"], min(r["pos"] + horizon, len(y))):
+                    xs = _clean_x(r["x"], allowed is None or r[key] in allowed, pos)
                     try:
                         fit = SeasonalFit(history, order, None if xs is None else xs[:pos])
                         guess = fit.forecast(None if xs is None else xs[pos])
@@ -276,16 +308,19 @@ def residual_correlation(residuals: DataFrame, panel: DataFrame, key: str, ts: s
     return joined.groupBy(key).agg(safe_corr("residual", exog).alias("r"))
 
 
-def hybrid_forecasts(forecasts: DataFrame, residuals: DataFrame, key: str, ts: str, lags: int = 3, trees: int = 20) -> DataFrame:
+def hybrid_forecasts(forecasts: DataFrame, residuals: DataFrame, key: str, ts: str, lags: int = 3, trees: int = 100) -> DataFrame:
     """Adds ``residual_forecast`` and ``hybrid`` to rolling forecasts.
 
-    One boosted-tree model learns the next residual from the previous ``lags`` over all series. From
-    the last training residuals it is then applied step by step, later lags being its own output.
+    One boosted-tree model learns the next residual from the previous ``lags``, all in units of their
+    series' spread, so series of any scale count alike. From the last training residuals it is then
+    applied step by step, later lags being its own output.
     """
     names = [f"lag_{i}" for i in range(1, lags + 1)]
     # residuals of forecast dates would leak, so only earlier ones train and start the recursion
     start = forecasts.groupBy(key).agg(F.min(ts).alias("_start"), F.count(F.lit(1)).alias("_steps"))
     past = residuals.join(start, key).filter(F.col(ts) < F.col("_start"))
+    unit = past.groupBy(key).agg(F.coalesce(F.nullif(F.stddev_pop("residual"), F.lit(0.0)), F.lit(1.0)).alias("_unit"))
+    past = past.join(unit, key).withColumn("residual", F.col("residual") / F.col("_unit"))
     vector = VectorAssembler(inputCols=names, outputCol="_lags")
     train = vector.transform(lag_table(past, key, ts, "residual", lags))
     model = GBTRegressor(featuresCol="_lags", labelCol="target", predictionCol="_p", maxIter=trees, maxDepth=3, seed=42).fit(train)
@@ -307,6 +342,7 @@ def hybrid_forecasts(forecasts: DataFrame, residuals: DataFrame, key: str, ts: s
     if not made:
         return forecasts.withColumns({"residual_forecast": F.lit(0.0), "hybrid": F.col("predicted")})
     guesses = state.select(key, F.posexplode(F.array(*made)).alias("_step", "residual_forecast"))
+    guesses = guesses.join(unit, key).withColumn("residual_forecast", F.col("residual_forecast") * F.col("_unit")).drop("_unit")
     step = F.row_number().over(Window.partitionBy(key).orderBy(ts)) - 1
     joined = forecasts.withColumn("_step", step).join(guesses, [key, "_step"], "left").drop("_step")
     return joined.withColumn(

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     FMRegressor,
@@ -25,12 +25,18 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, functions as F
 
+from terralag.operators.steps import SCALERS, Assembler, MedianImputer, Penalised, step_name
+
 MAX_DEPTH = 30
 SEED = 42
+BOOSTING_BINS = 255  # split candidates per feature of the boosters that are stood in for
 
 
-def _depth(value, default: int = 5) -> int:
+def _depth(value, default: int = MAX_DEPTH) -> int:
+    """Without a limit trees grow to Spark's own."""
     if value is None:
+        if default == MAX_DEPTH:
+            warnings.warn(f"unlimited depth held to {MAX_DEPTH}", stacklevel=3)
         return default
     if value > MAX_DEPTH:
         warnings.warn(f"depth {value} held to {MAX_DEPTH}", stacklevel=3)
@@ -55,7 +61,7 @@ def forest(
     _unused(other)
     return RandomForestRegressor(
         numTrees=n_estimators,
-        maxDepth=_depth(max_depth, 10),
+        maxDepth=_depth(max_depth),
         minInstancesPerNode=max(min_samples_leaf, min_samples_split // 2, 1),
         featureSubsetStrategy=_subset(max_features),
         subsamplingRate=max_samples,
@@ -94,6 +100,7 @@ def boosting(
         stepSize=learning_rate,
         subsamplingRate=subsample,
         featureSubsetStrategy=_subset(colsample_bytree),
+        maxBins=BOOSTING_BINS,
         minInfoGain=float(gamma),
         minInstancesPerNode=max(int(min_child_weight), min_samples_split // 2, 1),
         seed=SEED,
@@ -127,40 +134,39 @@ MODELS: dict[str, Callable[..., Estimator]] = {
     "lightgbm": boosting,
     "xgboost": boosting,
     "linear": lambda **p: LinearRegression(**p),
-    "ridge": lambda alpha=1.0, **p: LinearRegression(regParam=alpha, elasticNetParam=0.0, **p),
-    "lasso": lambda alpha=0.01, **p: LinearRegression(regParam=alpha, elasticNetParam=1.0, **p),
-    "elastic_net": lambda alpha=0.01, l1_ratio=0.5, **p: LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, **p),
+    "ridge": lambda alpha=1.0, **p: Penalised(alpha, None, **p),
+    "lasso": lambda alpha=1.0, **p: Penalised(alpha, 1.0, **p),
+    "elastic_net": lambda alpha=1.0, l1_ratio=0.5, **p: Penalised(alpha, l1_ratio, **p),
     "glm": lambda **p: GeneralizedLinearRegression(family="gaussian", link="identity", **p),
     "decision_tree": lambda max_depth=None, **p: DecisionTreeRegressor(maxDepth=_depth(max_depth), seed=SEED, **p),
     "factorization": lambda **p: FMRegressor(seed=SEED, **p),
 }
 
-SCALERS = {
-    "standard": lambda: StandardScaler(withMean=True, withStd=True),
-    "minmax": MinMaxScaler,
-    "robust": lambda: RobustScaler(withCentering=True, withScaling=True),
-}
-
-
 def make_pipeline(
     model: str,
     features: Sequence[str],
     label: str,
     scaler: str | None = None,
     degree: int = 1,
+    select: tuple | None = None,
     **params,
 ):
-    """Assemble, optionally expand and scale, then fit ``model``; ``scaler=None`` passes through."""
+    """Fill gaps with training medians, optionally scale, select and expand, then fit ``model``.
+
+    Every row that is transformed gets a prediction. ``scaler=None`` passes through; for ``select`` see
+    :class:`terralag.operators.steps.Assembler`.
+    """
     if model == "mean":
         return MeanBaseline(label)
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip")]
+    columns = [step_name(c) for c in features]
+    stages = [MedianImputer(features)]
+    if scaler:
+        stages.append(SCALERS[scaler](columns))
+    stages.append(Assembler(columns, label, "_raw", select))
     column = "_raw"
     if degree > 1:
         stages.append(PolynomialExpansion(degree=degree, inputCol=column, outputCol="_poly"))
         column = "_poly"
-    if scaler:
-        stages.append(SCALERS[scaler]().setInputCol(column).setOutputCol("_scaled"))
-        column = "_scaled"
     stages.append(MODELS[model](**params).setFeaturesCol(column).setLabelCol(label))
     return Pipeline(stages=stages)
 

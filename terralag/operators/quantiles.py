@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,119 +24,95 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column, NULLs left out.
 
-    Small columns take one ``percentile`` aggregate. Up to ``limit`` rows, values are counted by hash
-    aggregation and only the counts are sorted. Beyond it each order statistic is bracketed by
-    bounded-memory sketches until at most ``limit`` distinct values are left inside the bracket.
-    A known bound on the number of rows (``rows_at_most``) can save the counting pass.
+    Columns of up to ``min(limit, PERCENTILE_LIMIT)`` rows take one ``percentile`` aggregate. Larger ones take
+    three scans for all columns and quantiles together, see :func:`_order_statistics`. A known bound on the
+    number of rows (``rows_at_most``) can save the counting pass.
     """
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     if not exprs:
         return {}
     exprs = {name: c.cast("double") for name, c in exprs.items()}
     names = list(exprs)
-    small = min(limit, PERCENTILE_LIMIT) if len(probs) <= 8 else 0
+    small = min(limit, PERCENTILE_LIMIT)
     if rows_at_most is not None and rows_at_most <= small:
         counts = [rows_at_most] * len(names)
     else:
         counts = list(df.agg(*[F.count(exprs[n]).alias(str(i)) for i, n in enumerate(names)]).first())
-    out: dict[str, list[float | None]] = {n: [None] * len(probs) for i, n in enumerate(names) if not counts[i]}
-    tiny = [n for i, n in enumerate(names) if n not in out and counts[i] <= small]
+    sizes = dict(zip(names, counts))
+    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names if not sizes[n]}
+    tiny = [n for n in names if 0 < sizes[n] <= small]
     if tiny:
         levels = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile(exprs[n], levels).alias(str(i)) for i, n in enumerate(tiny)]).first()
         for i, n in enumerate(tiny):
             out[n] = list(row[i]) if row[i] is not None else [None] * len(probs)
-    sizes = dict(zip(names, counts))
-    middle = [n for n in names if n not in out and sizes[n] <= limit]
-    if middle:
-        out |= _from_counts(df, {n: exprs[n] for n in middle}, sizes, probs)
-    for n in names:
-        if n not in out:
-            out[n] = _bracketed(df.select(exprs[n].alias("v")).filter("v IS NOT NULL"), sizes[n], probs, limit)
+    large = [n for n in names if n not in out]
+    if large:
+        spots = {n: [(sizes[n] - 1) * p for p in probs] for n in large}
+        ranks = {n: sorted({f(h) for h in spots[n] for f in (math.floor, math.ceil)}) for n in large}
+        found = _order_statistics(df, {n: exprs[n] for n in large}, sizes, ranks, limit)
+        for n in large:
+            ends = [(found[n][math.floor(h)], found[n][math.ceil(h)], h - math.floor(h)) for h in spots[n]]
+            out[n] = [low + (high - low) * share for low, high, share in ends]
     return {n: out[n] for n in names}
 
 
-def _spots(n: int, probs: Sequence[float]) -> list[float]:
-    return [(n - 1) * p for p in probs]
-
+def _order_statistics(df, exprs, sizes, ranks, limit) -> dict[object, dict[int, float]]:
+    """The values at the wanted ``ranks`` (0-based) of each column; NULLs don't count.
 
-def _interpolate(spots: Sequence[float], value_at) -> list[float]:
-    out = []
-    for h in spots:
-        low, high = value_at(math.floor(h)), value_at(math.ceil(h))
-        out.append(low + (high - low) * (h - math.floor(h)))
-    return out
-
-
-def _from_counts(df: DataFrame, exprs: Mapping[str, Column], sizes: Mapping[str, int], probs) -> dict[str, list[float]]:
-    """All columns in one job: counts per distinct value, running totals, the rows at the wanted ranks."""
+    Scan one: sketches give two cuts around every rank. Scan two: rows and distinct values between cuts, from
+    which follows the gap that holds a rank. Scan three: the values in those gaps, counted and ordered per gap.
+    A value that is a cut has a gap of its own. A gap with more than ``limit`` distinct values becomes a
+    column of the next round, which holds some ten-thousandth of its rows.
+    """
     names = list(exprs)
-    cells = [F.struct(F.lit(i).alias("c"), exprs[n].alias("v")) for i, n in enumerate(names)]
-    counted = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").groupBy("c", "v").count()
-    w = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("count").over(w))
-    ranked = ranked.withColumns(
-        {"_a": (F.col("upto") - F.col("count") - 1).cast("double"), "_b": (F.col("upto") - 1).cast("double")}
+    base = df.select(*[exprs[n].alias(f"v{i}") for i, n in enumerate(names)])
+    slack = 2.0 / _ACCURACY
+    levels = []
+    for n in names:
+        spread = [r / max(sizes[n] - 1, 1) for r in ranks[n]]
+        levels.append(sorted({min(max(p + s, 0.0), 1.0) for p in spread for s in (-slack, slack)}))
+    row = base.agg(*[F.percentile_approx(f"v{i}", p, _ACCURACY).alias(str(i)) for i, p in enumerate(levels)]).first()
+    cuts = [sorted({x for c in row[i] for x in (c, math.nextafter(c, math.inf))} - {math.inf}) for i in range(len(names))]
+    cut = Bucketizer(
+        splitsArray=[[-math.inf, *c, math.inf] for c in cuts],
+        inputCols=[f"v{i}" for i in range(len(names))],
+        outputCols=[f"g{i}" for i in range(len(names))],
+        handleInvalid="keep",
     )
-    wanted = {float(f(h)) for n in names for h in _spots(sizes[n], probs) for f in (math.floor, math.ceil)}
-    edges = [-math.inf, *sorted(wanted), math.inf]
-    # a value holds a wanted rank when its first and last rank fall into different buckets
-    hits = Bucketizer(splitsArray=[edges, edges], inputCols=["_a", "_b"], outputCols=["_p", "_q"]).transform(ranked)
-    found: dict[int, list[tuple[int, float]]] = {}
-    for row in hits.filter(F.col("_p") < F.col("_q")).select("c", "upto", "v").orderBy("c", "upto").collect():
-        found.setdefault(row["c"], []).append((row["upto"], row["v"]))
-
-    def reader(i: int):
-        ends = [upto for upto, _ in found[i]]
-        return lambda rank: found[i][bisect_right(ends, rank)][1]
-
-    return {n: _interpolate(_spots(sizes[n], probs), reader(i)) for i, n in enumerate(names)}
-
-
-def _bracketed(values: DataFrame, n: int, probs: Sequence[float], limit: int) -> list[float]:
-    spots = _spots(n, probs)
-    wanted = sorted({i for h in spots for i in (math.floor(h), math.ceil(h))})
-    stats = {i: _order_statistic(values, n, i, limit) for i in wanted}
-    return _interpolate(spots, stats.__getitem__)
-
-
-def _order_statistic(values: DataFrame, n: int, index: int, limit: int) -> float:
-    """The value at 0-based ``index`` of the sorted column."""
-    low, high, below, inside = -math.inf, math.inf, 0, n
-    while True:
-        part = values.filter(F.col("v").between(low, high))
-        local = index - below
-        slack = 2.0 / _ACCURACY
-        p = local / max(inside - 1, 1)
-        guess = part.agg(
-            F.percentile_approx("v", [max(p - slack, 0.0), min(p + slack, 1.0)], _ACCURACY)
-        ).first()[0]
-        new_low, new_high = guess
-        bracket = F.col("v").between(new_low, new_high)
-        before, held, kinds = part.agg(
-            F.count_if(F.col("v") < new_low),
-            F.count_if(bracket),
-            F.approx_count_distinct(F.when(bracket, F.col("v"))),
-        ).first()
-        if not before <= local < before + held:
-            # the sketch missed: keep the side that holds the index
-            if local < before:
-                new_low, new_high, before, held = low, new_low, 0, before
+    marked = cut.transform(base)
+    cells = [F.struct(F.lit(i).alias("c"), F.col(f"g{i}").cast("int").alias("g"), F.col(f"v{i}").alias("v")) for i in range(len(names))]
+    rows = marked.select(F.inline(F.array(*cells))).filter("v IS NOT NULL")
+    gaps: list[dict] = [{} for _ in names]
+    for r in rows.groupBy("c", "g").agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("kinds")).collect():
+        gaps[r["c"]][r["g"]] = (r["n"], r["kinds"])
+    out: dict[object, dict[int, float]] = {n: {} for n in names}
+    small, large = [], {}
+    for i, n in enumerate(names):
+        order = sorted(gaps[i])
+        upto = list(accumulate(gaps[i][g][0] for g in order))
+        for rank in ranks[n]:
+            at = bisect_right(upto, rank)
+            g, before = order[at], upto[at - 1] if at else 0
+            if 0 < g <= len(cuts[i]) and g < len(cuts[i]) and cuts[i][g] == math.nextafter(cuts[i][g - 1], math.inf):
+                out[n][rank] = cuts[i][g - 1]
+            elif gaps[i][g][1] <= limit:
+                small.append((i, g, rank, rank - before))
             else:
-                skip = before + held
-                new_low, new_high = math.nextafter(new_high, math.inf), high
-                before, held = skip, inside - skip
-            if local < 0:
-                raise ValueError("index outside the column")
-            kinds = held
-        if new_low == new_high:
-            return new_low
-        stuck = new_low == low and new_high == high
-        low, high, below, inside = new_low, new_high, below + before, held
-        if kinds <= limit or stuck:
-            break
-    # at most ``limit`` distinct values are left, so one ordered pass over them is bounded
-    counts = values.filter(F.col("v").between(low, high)).groupBy("v").count()
-    running = F.sum("count").over(Window.orderBy("v"))
-    hit = counts.withColumn("upto", running).filter(F.col("upto") > index - below)
-    return hit.agg(F.min("v")).first()[0]
+                large.setdefault((i, g), []).append((rank, rank - before))
+    if small:
+        wanted = df.sparkSession.createDataFrame(small, "c int, g int, rank long, local long")
+        counted = rows.join(F.broadcast(wanted.select("c", "g").distinct()), ["c", "g"]).groupBy("c", "g", "v").count()
+        running = F.sum("count").over(Window.partitionBy("c", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        hits = counted.withColumn("upto", running).join(F.broadcast(wanted), ["c", "g"])
+        for r in hits.filter((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("count"))).collect():
+            out[names[r["c"]]][r["rank"]] = r["v"]
+    if large:
+        inner = {key: F.when(F.col(f"g{key[0]}") == key[1], F.col(f"v{key[0]}")) for key in large}
+        found = _order_statistics(
+            marked, inner, {k: gaps[k[0]][k[1]][0] for k in large}, {k: sorted({x for _, x in v}) for k, v in large.items()}, limit
+        )
+        for key, pairs in large.items():
+            for rank, local in pairs:
+                out[names[key[0]]][rank] = found[key][local]
+    return out

@@ -16,7 +16,10 @@ from terralag.operators.correlation import safe_corr
 from terralag.operators.quantiles import exact_quantiles
 
 
-def _affine(df: DataFrame, params: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+Affine = dict[str, tuple[float | None, float | None]]
+
+
+def apply_affine(df: DataFrame, params: Affine) -> DataFrame:
     """``(x - shift) / scale``; a zero scale counts as one, so a constant column becomes 0."""
     return df.withColumns(
         {
@@ -27,28 +30,35 @@ def _affine(df: DataFrame, params: dict[str, tuple[float | None, float | None]])
     )
 
 
+def fit_standard(df: DataFrame, columns: Sequence[str]) -> Affine:
+    row = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
+    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+
+
+def fit_minmax(df: DataFrame, columns: Sequence[str]) -> Affine:
+    row = df.agg(*[f(c).cast("double") for c in columns for f in (F.min, F.max)]).first()
+    ends = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
+    return {c: (low, None if low is None else high - low) for c, (low, high) in ends.items()}
+
+
+def fit_robust(df: DataFrame, columns: Sequence[str]) -> Affine:
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    return {c: (m, None if m is None else b - a) for c, (a, m, b) in q.items()}
+
+
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Zero mean, unit population standard deviation."""
-    row = df.agg(*[f(c) for c in columns for f in (F.avg, F.stddev_pop)]).first()
-    return _affine(df, {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)})
+    return apply_affine(df, fit_standard(df, columns))
 
 
 def minmax_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """To [0, 1]; a constant column becomes 0."""
-    row = df.agg(*[f(c).cast("double") for c in columns for f in (F.min, F.max)]).first()
-    return _affine(
-        df,
-        {
-            c: (row[2 * i], None if row[2 * i] is None else row[2 * i + 1] - row[2 * i])
-            for i, c in enumerate(columns)
-        },
-    )
+    return apply_affine(df, fit_minmax(df, columns))
 
 
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median to 0, interquartile range to 1."""
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    return _affine(df, {c: (m, None if m is None else b - a) for c, (a, m, b) in q.items()})
+    return apply_affine(df, fit_robust(df, columns))
 
 
 # Acklam's rational approximation of the normal quantile: fixed coefficients
@@ -83,18 +93,26 @@ def probit(p: Column) -> Column:
 
 
 def quantile_transform(df: DataFrame, columns: Sequence[str], n: int = 100, output: str = "normal") -> DataFrame:
-    """Map each column through its ``n``-point empirical distribution, interpolating between points.
+    """Map each column through its own ``n``-point empirical distribution."""
+    return apply_quantiles(df, fit_quantiles(df, columns, n), output)
+
+
+def fit_quantiles(df: DataFrame, columns: Sequence[str], n: int = 100, **limits: int) -> dict[str, list[float | None]]:
+    """``n`` evenly spaced quantiles of each column, ends included; ``limits`` as in ``exact_quantiles``."""
+    return exact_quantiles(df, columns, [i / (n - 1) for i in range(n)], **limits)
+
+
+def apply_quantiles(df: DataFrame, points: dict[str, list[float | None]], output: str = "normal") -> DataFrame:
+    """Map each column through the distribution given by its points, interpolating between them.
 
     A value that several points share gets the middle of their range. ``output`` is ``uniform`` or
     ``normal``. Lookups are a binary search in the JVM (Bucketizer), not a scan of the points.
     """
-    grid = [i / (n - 1) for i in range(n)]
-    points = exact_quantiles(df, columns, grid)
     out = df
-    for c in columns:
-        values = points[c]
+    for c, values in points.items():
         if values[0] is None:
             continue
+        grid = [i / (len(values) - 1) for i in range(len(values))]
         first, last = {}, {}
         for v, g in zip(values, grid):
             first.setdefault(v, g)

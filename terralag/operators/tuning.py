@@ -14,6 +14,7 @@ from itertools import product
 from statistics import fmean, pstdev
 
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +22,8 @@ from terralag.functions.metrics import METRICS
 from terralag.operators.models import make_pipeline
 
 FOLD_METRICS = ("r2", "mape_fraction")
+#: What a configuration that cannot be fitted raises; anything else, a lost cluster say, ends the search.
+FIT_ERRORS = (IllegalArgumentException, ValueError, ZeroDivisionError)
 
 
 class MapeEvaluator(Evaluator):
@@ -58,12 +61,15 @@ def fold_scores(
     metrics: Sequence[str] = FOLD_METRICS,
     fold: str = "fold",
     parallelism: int = 2,
+    scorer: Evaluator | None = None,
 ) -> list[dict]:
     """One dict of metrics per fold. ``pipeline()`` gives a fresh estimator."""
 
     def one(i: int) -> dict:
         model = pipeline().fit(df.filter(F.col(fold) != i))
-        return {"fold": i, **score(model.transform(df.filter(F.col(fold) == i)), label, metrics)}
+        scored = model.transform(df.filter(F.col(fold) == i))
+        found = {"fold": i, **score(scored, label, metrics)}
+        return found | {"scorer": scorer.evaluate(scored)} if scorer else found
 
     return _run(df, [lambda i=i: one(i) for i in range(folds)], parallelism)
 
@@ -110,7 +116,7 @@ def random_draws(model: str, n: int, space: Mapping[str, tuple], seed: int = 42,
 
 SEARCH_SCHEMA = (
     "experiment int, model string, scaler string, params map<string,string>, features array<string>, "
-    "r2_mean double, r2_std double, mape_mean double, mape_std double, failed boolean"
+    "r2_mean double, r2_std double, mape_mean double, mape_std double, scorer double, failed boolean, error string"
 )
 
 
@@ -121,34 +127,33 @@ def search(
     label: str,
     folds: int,
     parallelism: int = 2,
+    scorer: Evaluator | None = None,
 ) -> DataFrame:
     """Cross-validate every configuration: one row each, see ``SEARCH_SCHEMA``.
 
-    A configuration that cannot be fitted is kept with ``r2_mean`` minus infinity and ``mape_mean``
-    infinity, so it never wins. A configuration may carry its own ``features``.
+    ``scorer`` is any evaluator, :class:`MapeEvaluator` say; its mean over the folds is the column
+    ``scorer``. A configuration that cannot be fitted is kept with its message, ``r2_mean`` minus infinity,
+    ``mape_mean`` infinity and the worst ``scorer``, so it never wins. A configuration may carry its own
+    ``features`` and ``select``.
     """
     needed = {label, "fold", *features, *[f for c in configs for f in c.get("features", ())]}
     data = df.select(*sorted(needed)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(number: int, config: Mapping) -> tuple:
         names = list(config.get("features", features))
-        failed = False
+        failed, error, found = False, None, None
         try:
-            scores = fold_scores(
-                data,
-                lambda: make_pipeline(config["model"], names, label, config.get("scaler"), **config["params"]),
-                label,
-                folds,
-                parallelism=1,
-            )
+            scores = fold_scores(data, lambda: pipeline_of(config, names, label), label, folds, parallelism=1, scorer=scorer)
             s = summarise_folds(scores)
             if s["r2_mean"] is None or s["mape_fraction_mean"] is None:
                 raise ValueError("no score")
             values = (s["r2_mean"], s["r2_std"], s["mape_fraction_mean"], s["mape_fraction_std"])
-        except Exception:  # noqa: BLE001 - any failing configuration scores worst instead of stopping the search
-            values, failed = (-math.inf, None, math.inf, None), True
+            found = fmean(x["scorer"] for x in scores) if scorer else None
+        except FIT_ERRORS as e:
+            values, failed, error = (-math.inf, None, math.inf, None), True, str(e)
+            found = (-math.inf if scorer.isLargerBetter() else math.inf) if scorer else None
         params = {k: str(v) for k, v in config["params"].items()}
-        return (number, config["model"], config.get("scaler"), params, names, *values, failed)
+        return (number, config["model"], config.get("scaler"), params, names, *values, found, failed, error)
 
     try:
         rows = _run(df, [lambda n=n, c=c: one(n, c) for n, c in enumerate(configs, 1)], parallelism)
@@ -157,15 +162,18 @@ def search(
     return df.sparkSession.createDataFrame(rows, SEARCH_SCHEMA)
 
 
-def best_config(report: DataFrame, configs: Sequence[Mapping], by: str = "mape_mean") -> Mapping:
+def best_config(report: DataFrame, configs: Sequence[Mapping], by: str = "mape_mean", larger: bool = False) -> Mapping:
     """The configuration with the lowest ``by`` (or highest for R²), ties to the earlier one."""
-    sign = F.col(by).desc() if by.startswith("r2") else F.col(by).asc()
+    sign = F.col(by).desc() if by.startswith("r2") or larger else F.col(by).asc()
     return configs[report.orderBy(sign, "experiment").first()["experiment"] - 1]
 
 
+def pipeline_of(config: Mapping, features: Sequence[str], label: str):
+    return make_pipeline(config["model"], features, label, config.get("scaler"), select=config.get("select"), **config["params"])
+
+
 def refit(df: DataFrame, config: Mapping, features: Sequence[str], label: str):
-    names = list(config.get("features", features))
-    return make_pipeline(config["model"], names, label, config.get("scaler"), **config["params"]).fit(df)
+    return pipeline_of(config, list(config.get("features", features)), label).fit(df)
 
 
 def model_zoo_report(

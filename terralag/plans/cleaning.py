@@ -378,6 +378,23 @@ def quantile_uniform(spark, d):
     return got.select("okey", r("price", 4).alias("price"), r("value").alias("value"))
 
 
+@query(
+    "J4_quantile_fit_apply",
+    f"""WITH q AS (SELECT unnest(range(0, 100)) AS i, unnest(quantile_cont(price, {[i / 99 for i in range(100)]})) AS v FROM {t.DENSE_SQL} WHERE okey % 3 <> 0),
+    u AS (SELECT v, min(i) / 99.0 AS g_first, max(i) / 99.0 AS g_last FROM q GROUP BY v),
+    s AS (SELECT *, lead(v) OVER (ORDER BY v) AS v2, lead(g_first) OVER (ORDER BY v) AS g2 FROM u)
+    SELECT okey, round(price, 4) AS price, round(CASE WHEN price <= (SELECT min(v) FROM u) THEN 0 WHEN price >= (SELECT max(v) FROM u) THEN 1
+      WHEN price = s.v THEN (g_first + g_last) / 2 ELSE g_last + (g2 - g_last) * (price - s.v) / (v2 - s.v) END, 6) AS value
+    FROM (SELECT okey, price FROM {t.DENSE_SQL} WHERE okey % 3 = 0) p ASOF LEFT JOIN s ON p.price >= s.v""",
+)
+def quantile_fit_apply(spark, d):
+    """Fitted on two thirds of the orders by the way of large columns, applied to the others."""
+    rows = t.dense(spark, d).select("okey", "price", F.col("price").alias("value"))
+    points = scaling.fit_quantiles(rows.where("okey % 3 <> 0"), ["value"], 100, limit=100)
+    got = scaling.apply_quantiles(rows.where("okey % 3 = 0"), points, "uniform")
+    return got.select("okey", r("price", 4).alias("price"), r("value").alias("value"))
+
+
 @query("J4_quantile_normal")
 def quantile_normal(spark, d):
     return _scaled(scaling.quantile_transform(t.dense(spark, d), ["qty", "price"], 100, "normal"))

@@ -125,3 +125,14 @@ def test_quantiles_dominated_by_one_value(spark):
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5])["x"] == [None]
+
+
+def test_quantile_jobs_do_not_grow_with_the_quantiles(rows, spark):
+    df, _ = rows
+    jobs = []
+    for n in (2, 100):
+        spark.sparkContext.setJobGroup(f"quantiles-{n}", "")
+        exact_quantiles(df, ["v", "day"], [i / (n - 1) for i in range(n)], limit=100)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
