@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_staged: list[str] = []
+
 
 def build_session(app: str = "terralag", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE on and UTC time; ``master`` is left to spark-submit unless given."""
@@ -16,6 +20,7 @@ def build_session(app: str = "terralag", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -36,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         current = tempfile.mkdtemp(prefix="terralag-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
@@ -43,7 +49,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete what :func:`new_path` gave out in this process; results that still read it must be written first."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _staged:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        dropped += path.getFileSystem(hadoop).delete(path, True)
+    return dropped
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -47,3 +47,12 @@ def test_local_fallback_is_kept():
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(10).selectExpr("id", "id * 2 AS v")
     assert ses.cut_lineage(df).orderBy("id").collect() == df.orderBy("id").collect()
+
+
+def test_stages_are_dropped(spark, monkeypatch):
+    monkeypatch.setattr(ses, "_staged", [])
+    path = ses.new_path(spark, "stage")
+    spark.range(3).write.parquet(path)
+    assert ses.drop_stages(spark) == 1 and ses.drop_stages(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
