@@ -39,12 +39,17 @@ HEADLINE = [
     "H6_winsorize",
     "I2_median_fill",
     "I3_nearest_fill_5",
+    "I3_nearest_fill_10",
     "I4_iterative_fill",
     "J4_quantile_normal",
+    "J10_forward_selection",
     "K2_random_forest",
+    "L2_grid_search",
     "L5_cross_validate_mean",
+    "L10_method_matrix",
     "M1_order_search",
     "M4_rolling_forecast",
+    "M6_hybrid_forecast",
     "feature_table_by_group",
 ]
 

@@ -87,30 +87,32 @@ class CellTree:
         self.depth = last
         self.cells = reduce(DataFrame.unionByName, tables)
 
-    def _code(self, level: Column) -> Column:
-        scale = F.call_function(
-            "shiftleft", F.lit(1).cast("bigint"), (level * self.bits).cast("int")
-        ).cast("double")
-        parts = [
-            F.coalesce(
-                F.floor((F.col(d) - F.lit(o)) / F.lit(self.span) * scale).cast("string"), F.lit("-")
-            )
-            for d, o in zip(self.dims, self.origin)
-        ]
-        return F.concat_ws(":", *parts)
+    def _steps(self, level: int) -> list[Column]:
+        """The cell of a vector at a level: one number per dimension, NULL where the vector has none."""
+        scale = float(1 << level * self.bits)
+        return [F.floor((F.col(d) - F.lit(o)) / F.lit(self.span) * F.lit(scale)) for d, o in zip(self.dims, self.origin)]
+
+    @staticmethod
+    def _code(steps: Sequence[Column]) -> Column:
+        return F.concat_ws(":", *[F.coalesce(s.cast("string"), F.lit("-")) for s in steps])
 
     def _levels(self, first: int, last: int) -> DataFrame:
-        level = F.col("level")
-        return (
-            self.vectors.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(first, last + 1)])))
-            .withColumn("code", self._code(level))
-            .withColumn("parent", F.when(level > 0, self._code(F.greatest(level - 1, F.lit(0)))))
-            .groupBy("level", "code", "parent")
-            .agg(
-                F.sum("copies").alias("cnt"),
-                *[F.min(d).alias(f"lo_{i}") for i, d in enumerate(self.dims)],
-                *[F.max(d).alias(f"hi_{i}") for i, d in enumerate(self.dims)],
-            )
+        """Cells of levels ``first`` to ``last``: vectors are grouped once, upper levels from those cells."""
+        p = range(len(self.dims))
+        steps = [s.cast("bigint").alias(f"k_{i}") for i, s in enumerate(self._steps(last))]
+        leaves = self.vectors.groupBy(*steps).agg(
+            F.sum("copies").alias("cnt"),
+            *[F.min(d).alias(f"lo_{i}") for i, d in enumerate(self.dims)],
+            *[F.max(d).alias(f"hi_{i}") for i, d in enumerate(self.dims)],
+        )
+        leaves = cut_lineage(leaves)
+        rows = leaves.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(first, last + 1)])))
+        up = lambda i, more: F.call_function("shiftright", F.col(f"k_{i}"), ((F.lit(last + more) - F.col("level")) * self.bits).cast("int"))
+        rows = rows.withColumn("code", self._code([up(i, 0) for i in p])).withColumn(
+            "parent", F.when(F.col("level") > 0, self._code([up(i, 1) for i in p]))
+        )
+        return rows.groupBy("level", "code", "parent").agg(
+            F.sum("cnt").alias("cnt"), *[f(f"{n}_{i}").alias(f"{n}_{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i in p]
         )
 
     def level(self, number: int) -> DataFrame:
@@ -118,7 +120,7 @@ class CellTree:
         return F.broadcast(part) if self.level_sizes[number] <= BROADCAST_CELLS else part
 
     def leaves(self) -> DataFrame:
-        return self.vectors.withColumn("code", self._code(F.lit(self.depth)))
+        return self.vectors.withColumn("code", self._code(self._steps(self.depth)))
 
 
 def nearest_vectors(left: DataFrame, tree: CellTree, k: int = 1, need: str | None = None) -> DataFrame:
@@ -272,11 +274,15 @@ def grid_snap_join(
     block = probes.withColumn("_o", F.explode(around)).select(
         "_lid", "_x", "_y", (F.col("_r") + F.col("_o.i")).alias("_kr"), (F.col("_c") + F.col("_o.j")).alias("_kc")
     )
-    cells = raster.groupBy(
+    # the block goes to the pixels as they are: at most nine cells a point are kept, then grouped by point
+    cells = raster.select(
         F.col(row).cast("bigint").alias("_kr"),
         F.col(col).cast("bigint").alias("_kc"),
         *[F.col(c).cast("double").alias(n) for c, n in zip(pixel_xy, ("_px", "_py"))],
-    ).agg(F.min(pixel_id).alias("_rid"))
+        F.col(pixel_id).alias("_rid"),
+    )
+    if points.count() * 9 <= BROADCAST_CELLS:
+        block = F.broadcast(block)
     dist = distance_degrees(F.col("_px"), F.col("_py"), F.col("_x"), F.col("_y"))
     best = (
         block.join(cells, ["_kr", "_kc"])

@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+LEVEL_BUCKETS = 4096  # buckets that one pass cuts; more take a second pass inside them
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
@@ -33,14 +33,19 @@ def _as_number(df: DataFrame, name: str) -> Column:
 
 def bucket_splits(df: DataFrame, value: Column, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Inner bucket edges for ``value``. A value that is an edge twice gets a bucket of its own."""
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
     n = df.agg(F.count(value)).first()[0]
-    wanted = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
+    wanted = math.ceil(n / rows_per_bucket)
     if wanted <= 1:
         return []
-    step = MAX_BUCKETS // wanted
-    probs = probs[step - 1 :: step]
-    edges = df.agg(F.percentile_approx(value, probs, 10 * MAX_BUCKETS)).first()[0]
+    first = min(wanted, LEVEL_BUCKETS)
+    edges = df.agg(F.percentile_approx(value, [i / first for i in range(1, first)], 10 * LEVEL_BUCKETS)).first()[0] if first > 1 else []
+    inner = math.ceil(wanted / first)
+    if inner > 1:
+        # the driver holds one number per bucket, and buckets are of a fixed size
+        probs = [i / inner for i in range(1, inner)]
+        cut = _bucketize(df.select(value.alias("_v")), "_v", sorted(set(edges)), "_bucket")
+        finer = cut.groupBy("_bucket").agg(F.percentile_approx("_v", probs, 10 * LEVEL_BUCKETS).alias("e")).collect()
+        edges = sorted([*edges, *(e for r in finer for e in r["e"] or ())])
     splits: list[float] = []
     for edge in edges:
         if not splits or edge > splits[-1]:
@@ -187,18 +192,20 @@ def running_total(
     keys: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
     splits: list[float] | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows strictly before this one in ``order``."""
+    """Add ``out``: the sum of ``value`` over all rows strictly before this one in ``(order, tie)``."""
+    at = [order] + ([tie] if tie else [])
     if splits is None:
         splits = bucket_splits(df, _as_number(df, order), rows_per_bucket)
     if not splits:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    cut = with_bucket(df, order, rows_per_bucket=rows_per_bucket, splits=splits)
+    cut = with_bucket(df, order, tie=tie, rows_per_bucket=rows_per_bucket, splits=splits)
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(across), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = _join_carry(local, carry, [*keys, "_bucket"])
     return joined.withColumn(out, F.col("_base") + F.col("_local")).drop("_bucket", "_base", "_local")
@@ -210,7 +217,8 @@ def row_position(
     out: str = "position",
     keys: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    tie: str | None = None,
 ) -> DataFrame:
-    """Add ``out``: the 0-based position of each row in ``order``, per ``keys``."""
+    """Add ``out``: the 0-based position of each row in ``(order, tie)``, per ``keys``."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return running_total(ones, "_one", order, out, keys, rows_per_bucket).drop("_one")
+    return running_total(ones, "_one", order, out, keys, rows_per_bucket, tie=tie).drop("_one")

@@ -60,9 +60,8 @@ def side_by_side(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(right.select(on, *extra), on, "full")
 
 
-def parameter_grid(spark, **axes: Sequence) -> DataFrame:
-    """Every combination of the given axes. Built as one exploded row per axis, not a table join."""
-    df = spark.range(1).select()
+def parameter_grid(df: DataFrame, **axes: Sequence) -> DataFrame:
+    """Each row with every combination of the given axes: one explode per axis, not a table join."""
     for name, values in axes.items():
         df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return df
@@ -87,9 +86,3 @@ def stage_counts(stages: Mapping[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
-
-
-def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name="column", value="value"):
-    """One row per column: ``(keep.., name, value as double)``."""
-    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])
-    return df.select(*keep, F.inline(pairs))

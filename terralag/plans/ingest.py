@@ -350,10 +350,16 @@ def fx_monthly(spark, d):
     return move_to_next_month(monthly, "month_end", "month").select("month", F.col("valor").alias("dol_val"))
 
 
+MONTHS_AT_MOST = 50_000
+
+
 def priced_with_fx(spark, d):
+    from terralag.session import cut_lineage
+
     rows = t.prices(spark, d).withColumn("month", F.trunc("data", "month"))
-    # one row per calendar month: AQE broadcasts it by its measured size
-    return rows.join(fx_monthly(spark, d), "month", "left")
+    # the calendar bounds the rates; the count proves it before they are sent out, so prices are never shuffled
+    monthly = cut_lineage(fx_monthly(spark, d))
+    return rows.join(F.broadcast(monthly) if monthly.count() <= MONTHS_AT_MOST else monthly, "month", "left")
 
 
 @query(
@@ -517,10 +523,7 @@ def actual_vs_predicted(spark, d):
 )
 def parameter_product(spark, d):
     keys = t.prices(spark, d).select("produto").distinct()
-    out = keys
-    for axis in "pdq":
-        out = out.withColumn(axis, F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])))
-    return out
+    return rel.parameter_grid(keys, p=range(3), d=range(3), q=range(3)).select("produto", *[F.col(c).cast("bigint").alias(c) for c in "pdq"])
 
 
 # ---- sort, limit, top-k, union

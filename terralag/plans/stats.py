@@ -285,9 +285,11 @@ def component_correlation(spark, d):
 def histogram_sql(source: str, c: str, bins: int, by: str = "") -> str:
     keys = f"{by}, " if by else ""
     over = f"PARTITION BY {by}" if by else ""
-    return f"""SELECT {keys}CAST(least(floor(({c} - lo) / ((hi - lo) / {bins}.0)), {bins} - 1) AS BIGINT) AS bin, count(*) AS n
+    ends = f"SELECT {keys}min({c}) AS lo, max({c}) AS hi FROM {source} WHERE {c} IS NOT NULL" + (f" GROUP BY {by}" if by else "")
+    return f"""WITH h AS (SELECT {keys}CAST(least(floor(({c} - lo) / ((hi - lo) / {bins}.0)), {bins} - 1) AS BIGINT) AS bin, count(*) AS n
         FROM (SELECT *, min({c}) OVER ({over}) AS lo, max({c}) OVER ({over}) AS hi FROM {source} WHERE {c} IS NOT NULL)
-        GROUP BY ALL"""
+        GROUP BY ALL)
+        SELECT {keys}bin, coalesce(n, 0) AS n FROM (SELECT {keys}bin FROM ({ends}), range(0, {bins}) r(bin)) LEFT JOIN h USING ({keys}bin)"""
 
 
 @query("D19_histogram", histogram_sql(t.FRAME_SQL, "price", 30))

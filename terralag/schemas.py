@@ -1,4 +1,4 @@
-"""Input schemas and the missing-value rule.
+"""The missing-value rule.
 
 There is one notion of missing: NULL. NaN and infinities become NULL when a table is read and
 after every division, because Spark orders NaN above all numbers while SQL comparisons drop NULL.
@@ -8,52 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-POINTS = T.StructType(
-    [
-        T.StructField("row_id", T.LongType(), False),
-        T.StructField("Longitude", T.DoubleType()),
-        T.StructField("Latitude", T.DoubleType()),
-        T.StructField("datetime", T.StringType()),
-        T.StructField("UHI Index", T.DoubleType()),
-    ]
-)
-
-BANDS = ["B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12"]
-
-PIXELS = T.StructType(
-    [
-        T.StructField("row_id", T.LongType(), False),
-        T.StructField("latitude", T.DoubleType()),
-        T.StructField("longitude", T.DoubleType()),
-        T.StructField("time", T.TimestampNTZType()),
-        *[T.StructField(band, T.IntegerType()) for band in BANDS],
-    ]
-)
-
-SCENES = T.StructType(
-    [
-        T.StructField("scene_id", T.StringType(), False),
-        T.StructField("min_lon", T.DoubleType()),
-        T.StructField("min_lat", T.DoubleType()),
-        T.StructField("max_lon", T.DoubleType()),
-        T.StructField("max_lat", T.DoubleType()),
-        T.StructField("time", T.TimestampNTZType()),
-        T.StructField("cloud_cover", T.DoubleType()),
-    ]
-)
-
-PRICES = T.StructType(
-    [
-        T.StructField("row_id", T.LongType(), False),
-        T.StructField("data", T.DateType()),
-        T.StructField("produto", T.StringType()),
-        T.StructField("sigla_uf", T.StringType()),
-        T.StructField("avg_preco_venda", T.DoubleType()),
-        T.StructField("avg_preco_compra", T.DoubleType()),
-        T.StructField("dol_val", T.DoubleType()),
-    ]
-)
-
 FX_TEXT = T.StructType([T.StructField("data", T.StringType()), T.StructField("valor", T.StringType())])
 
 
