@@ -36,17 +36,17 @@ def pivot_ratio(df: DataFrame, ts: str, key: str, value: str, top: str, bottom:
 
 
 def fill_missing(
-    df: DataFrame, columns: Sequence[str], order: str, keys: Sequence[str] = (), tie: str | None = None
+    df: DataFrame, columns: Sequence[str], order: str, keys: Sequence[str] = (), tie: str | None = None, **buckets: int
 ) -> DataFrame:
     """Forward then backward fill. Without ``keys`` it runs over the whole order of the table."""
-    return fill_both_ways(df, columns, order, keys, tie)
+    return fill_both_ways(df, columns, order, keys, tie, **buckets)
 
 
 def percent_change(
-    df: DataFrame, value: str, order: str, keys: Sequence[str] = (), tie: str | None = None, out: str = "change"
+    df: DataFrame, value: str, order: str, keys: Sequence[str] = (), tie: str | None = None, out: str = "change", **buckets: int
 ) -> DataFrame:
     """``value / previous value - 1``; keyed by default, whole-table order without ``keys``."""
-    prev = previous_row(df, [value], order, keys, tie)
+    prev = previous_row(df, [value], order, keys, tie, **buckets)
     ratio = F.try_divide(F.col(value), F.col(f"prev_{value}")) - 1
     return prev.withColumn(out, ratio).drop(f"prev_{value}")
 

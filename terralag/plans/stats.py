@@ -191,16 +191,21 @@ def spearman_sql(source: str, x: str, y: str) -> str:
         FROM (SELECT {x} AS x, {y} AS y FROM {source}) WHERE x IS NOT NULL AND y IS NOT NULL))"""
 
 
-@query(
-    "D14_spearman_matrix",
-    " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, round(rho, 6) AS rho FROM {spearman_sql(t.FRAME_SQL, a, b)}" for a, b in _pairs(t.FRAME)
-    ),
+SPEARMAN_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(rho, 6) AS rho FROM {spearman_sql(t.FRAME_SQL, a, b)}" for a, b in _pairs(t.FRAME)
 )
+
+
+@query("D14_spearman_matrix", SPEARMAN_SQL)
 def spearman_matrix(spark, d):
     return corr.spearman_matrix(t.frame(spark, d), t.FRAME).select("a", "b", r("rho").alias("rho"))
 
 
+@query("D14_spearman_matrix_small_buckets", SPEARMAN_SQL)
+def spearman_matrix_small_buckets(spark, d):
+    return corr.spearman_matrix(t.frame(spark, d), t.FRAME, rows_per_bucket=500).select("a", "b", r("rho").alias("rho"))
+
+
 @query(
     "D14_spearman_matrix_no_gaps",
     " UNION ALL ".join(
@@ -423,6 +428,13 @@ def fill_file_order(spark, d):
     return ser.fill_missing(gapped(spark, d), ["v"], "row_id").select("row_id", r("v").alias("v"))
 
 
+@query("E1_fill_both_ways_small_buckets", fill_sql(""))
+def fill_small_buckets(spark, d):
+    """The way of long orders, whatever the size."""
+    got = ser.fill_missing(gapped(spark, d), ["v"], "row_id", rows_per_bucket=500)
+    return got.select("row_id", r("v").alias("v"))
+
+
 @query("E1_fill_both_ways_by_key", fill_sql("produto"))
 def fill_by_key(spark, d):
     return ser.fill_missing(gapped(spark, d), ["v"], "row_id", ["produto"]).select("row_id", r("v").alias("v"))
@@ -438,6 +450,12 @@ def percent_change(spark, d):
     return ser.percent_change(t.prices(spark, d), "venda", "row_id", ["produto"]).select("row_id", r("change").alias("change"))
 
 
+@query("E2_percent_change_small_buckets", f"SELECT row_id, round(change, 6) AS change FROM {change_sql('produto')}")
+def percent_change_small_buckets(spark, d):
+    got = ser.percent_change(t.prices(spark, d), "venda", "row_id", ["produto"], rows_per_bucket=500)
+    return got.select("row_id", r("change").alias("change"))
+
+
 @query("E2_percent_change_file_order", f"SELECT row_id, round(change, 6) AS change FROM {change_sql('')}")
 def percent_change_file(spark, d):
     return ser.percent_change(t.prices(spark, d), "venda", "row_id").select("row_id", r("change").alias("change"))

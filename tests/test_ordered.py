@@ -136,3 +136,13 @@ def test_quantile_jobs_do_not_grow_with_the_quantiles(rows, spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles-{n}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_buckets_have_no_cap(rows, monkeypatch):
+    monkeypatch.setattr(ordered, "LEVEL_BUCKETS", 4)
+    df, pdf = rows
+    sizes = ordered.with_bucket(df, "id", rows_per_bucket=20).groupBy("_bucket").count().toPandas()
+    assert sizes["count"].max() <= 60 and len(sizes) > 4
+    got = ordered.row_position(df, "day", rows_per_bucket=20, tie="id").toPandas().set_index("id")["position"].sort_index()
+    want = pdf.sort_values(["day", "id"]).reset_index(drop=True)
+    assert got.tolist() == pd.Series(want.index, index=want["id"]).sort_index().tolist()

@@ -74,3 +74,17 @@ def test_workers_need_no_installed_package(spark):
 
     out = spark.range(2).select(F.pandas_udf(lambda s: s.map(lambda v: adf_p_value(-float(v))), "double")("id")).collect()
     assert len(out) == 2
+
+
+@pytest.mark.parametrize("name", ["C1_rate_join", "D19_histogram_by_group"])
+def test_small_sides_are_sent_out_by_count(spark, data, name):
+    """Whatever Spark estimates, the long side is not shuffled to meet one row per month or group."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, data))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan
+    if name == "C1_rate_join":
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
