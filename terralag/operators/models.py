@@ -25,7 +25,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, functions as F
 
-from terralag.operators.steps import SCALERS, Assembler, MedianImputer, Penalised, step_name
+from terralag.operators.steps import SCALERS, Assembler, Bagging, MedianImputer, Penalised, step_name
 
 MAX_DEPTH = 30
 SEED = 42
@@ -74,8 +74,9 @@ def extra_trees(n_estimators=100, max_depth=None, max_features=1 / 3, **other) -
     return forest(n_estimators, max_depth, max_features=max_features, **other)
 
 
-def bagging(n_estimators=10, max_samples=1.0, max_features=1.0, **other) -> RandomForestRegressor:
-    return forest(n_estimators, max_samples=max_samples, max_features=max_features, **other)
+def bagging(n_estimators=10, max_samples=1.0, max_features=1.0, max_depth=None, **other) -> Bagging:
+    _unused(other)
+    return Bagging(n_estimators, max_samples, max_features, _depth(max_depth), SEED)
 
 
 def boosting(

@@ -6,11 +6,13 @@ the quantile step keeps its points on the driver and cannot be saved.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.ml import Estimator, Transformer
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from terralag.operators import scaling
@@ -151,3 +153,41 @@ class Penalised(Estimator):
         return LinearRegression(
             featuresCol=self.features, labelCol=self.label, regParam=total, elasticNetParam=share, standardization=False, **(extra | self.options)
         ).fit(df)
+
+
+class Bagging(Estimator):
+    """Regression trees on bootstrap samples of rows, each on its own slice of the columns; the mean predicts.
+
+    The fitted form is a pipeline of slicers, trees and one SQL step, so it is saved like any other.
+    """
+
+    def __init__(self, members: int, max_samples: float, max_features: float, depth: int, seed: int):
+        super().__init__()
+        self.members, self.max_samples, self.max_features, self.depth, self.seed = members, max_samples, max_features, depth, seed
+        self.features, self.label = "features", "label"
+
+    def setFeaturesCol(self, name: str):
+        self.features = name
+        return self
+
+    def setLabelCol(self, name: str):
+        self.label = name
+        return self
+
+    def _fit(self, df: DataFrame) -> Transformer:
+        rows = df.select(self.features, self.label)
+        first = rows.first()
+        if first is None:
+            raise ValueError("no rows to fit")
+        width, rng, stages = first[0].size, random.Random(self.seed), []
+        for i in range(self.members):
+            columns = sorted(rng.sample(range(width), max(1, round(self.max_features * width))))
+            cut = VectorSlicer(inputCol=self.features, outputCol=f"_s{i}", indices=columns)
+            tree = DecisionTreeRegressor(featuresCol=f"_s{i}", labelCol=self.label, predictionCol=f"_p{i}", maxDepth=self.depth, seed=self.seed)
+            sample = rows.sample(withReplacement=True, fraction=self.max_samples, seed=self.seed + i)
+            stages += [cut, tree.fit(cut.transform(sample))]
+        names = [f"_p{i}" for i in range(self.members)]
+        mean = reduce(lambda a, b: f"{a} + {b}", names)
+        drop = ", ".join([*names, *(f"_s{i}" for i in range(self.members))])
+        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({drop}), ({mean}) / {self.members} AS prediction FROM __THIS__"))
+        return PipelineModel(stages)

@@ -108,3 +108,14 @@ def test_residual_starts_are_those_of_the_fits():
 def test_regressor_gaps_see_no_later_month():
     assert fc._clean_x([math.nan, math.nan, 5.0, math.nan, 7.0], True, 2).tolist() == [0.0, 0.0, 5.0, 5.0, 7.0]
     assert fc._clean_x([math.nan, 3.0, math.nan], True, 3).tolist() == [3.0, 3.0, 3.0]
+
+
+def test_bagging_members_have_their_own_columns(table, tmp_path):
+    df, _, y = table
+    fitted = make_pipeline("bagging", ["a", "b", "c"], "y", n_estimators=4, max_features=0.67, max_depth=6).fit(df)
+    slices = [tuple(s.getIndices()) for s in fitted.stages[-1].stages if hasattr(s, "getIndices")]
+    assert len(slices) == 4 and len(set(slices)) > 1 and all(len(s) == 2 for s in slices)
+    scored = fitted.transform(df).select("y", "prediction").toPandas()
+    assert ((scored.y - scored.prediction) ** 2).mean() < y.var()
+    save_model(fitted, str(tmp_path / "bag"))
+    assert load_model(str(tmp_path / "bag")).transform(df).count() == 120
