@@ -307,6 +307,22 @@ def nearest_fill_10(spark, d):
     return _keyed(impute.impute_knn(t.keyed(spark, d), "rid", ["a", "b", "c"], 10))
 
 
+@query("I3_nearest_fill_one_block", knn_sql(5))
+def nearest_fill_one_block(spark, d):
+    """The form for many columns with a single block, which is exact."""
+    got = impute.impute_knn_blocks(t.keyed(spark, d), "rid", ["a", "b", "c"], 5, tables=1, block_rows=10**9)
+    return _keyed(got)
+
+
+@query("I3_nearest_fill_wide")
+def nearest_fill_wide(spark, d):
+    """Ten bands with gaps in every one, filled from blocks of random projections."""
+    bands = [c for c in t.PIXEL_COLUMNS if c.startswith("B")][:10]
+    rows = t.model_table(spark, d).select("pixel_id", *[F.col(c).cast("double").alias(c) for c in bands])
+    gaps = {c: F.when((F.col("pixel_id") + i) % 17 != 0, F.col(c)) for i, c in enumerate(bands)}
+    return impute.impute_knn_blocks(rows.withColumns(gaps), "pixel_id", bands, 5)
+
+
 @query("I4_iterative_fill")
 def iterative_fill(spark, d):
     return _filled(impute.impute_iterative(t.frame(spark, d), t.FRAME, max_iter=20))

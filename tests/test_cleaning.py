@@ -147,3 +147,16 @@ def test_quantile_transform_of_shared_points(spark):
     df = spark.createDataFrame([(v,) for v in [1.0] * 50 + [2.0] * 50 + [None]], "x double")
     got = {r[0] for r in scaling.quantile_transform(df, ["x"], 100, "uniform").collect()}
     assert got == {0.0, 1.0, None}
+
+
+def test_nearest_fill_in_blocks(spark):
+    """Twelve columns driven by two numbers: blocks come close to the exact fill and far ahead of the mean."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 2)) @ rng.normal(size=(2, 12)) + 0.05 * rng.normal(size=(600, 12))
+    names = [f"c{i}" for i in range(12)]
+    rows = [(i, *[None if (i + j) % 29 == 0 else float(v) for j, v in enumerate(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "rid int, " + ", ".join(f"{c} double" for c in names))
+    got = impute.impute_knn_blocks(df, "rid", names, 5, tables=6, block_rows=150).orderBy("rid").toPandas()[names].to_numpy()
+    gap = np.array([[(i + j) % 29 == 0 for j in range(12)] for i in range(600)])
+    assert not np.isnan(got).any() and (got[~gap] == x[~gap]).all()
+    assert np.abs(got - x)[gap].mean() < 0.25 * np.abs(x - x.mean(axis=0))[gap].mean()
