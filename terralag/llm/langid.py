@@ -175,21 +175,21 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(min(grid, key=loss))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; only ``text`` is looked at."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score under ``names``; only ``text`` is looked at."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.classes, model.table, model.bias, model.temperature))  # BUCKETS x classes numbers
-    other = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    other = [c for c in docs.columns if c not in names]
 
     def run(batches):
         m = Model(*sent.value)
         for part in slices(batches):
             got = [m.predict(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in other), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*other, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in other), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*other, *names])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType(list(docs.select(*other).schema)).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType(list(docs.select(*other).schema)).add(names[0], StringType()).add(names[1], DoubleType())
     return docs.select(*other).mapInArrow(run, schema)
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralag.llm.common import slices, stage, texts
+from terralag.llm.common import free_name, slices, stage, texts
 
 BLANK = "\t\n\x0b\x0c\r "
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -221,27 +221,27 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return grouped.mapInArrow(pack, "doc_id long, th long, bitmap binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with a column ``bitmap``, null where nothing goes."""
-    b = bitmaps.withColumnsRenamed({"doc_id": "_doc", "th": "_th"})
-    match = docs["doc_id"].cast("long").eqNullSafe(b["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == b["_th"])
-    return docs.join(b, match, "left").drop("_doc", "_th")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, out: str = "bitmap") -> DataFrame:
+    """``docs`` with a column ``out``, null where nothing goes."""
+    b = bitmaps.withColumnRenamed("bitmap", out)
+    match = docs["doc_id"].cast("long").eqNullSafe(b["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == b["th"])
+    return docs.join(b, match, "left").select(*[docs[c] for c in docs.columns], b[out])
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; texts that lose nothing are unchanged."""
-    other = [c for c in docs.columns if c != "text"]
+    other, name = [c for c in docs.columns if c != "text"], free_name(docs, "bitmap")
 
     def cut(batches):
         for part in slices(batches):
             out = []
-            for text, bitmap in zip(part.column("text").to_pylist(), part.column("bitmap").to_pylist(), strict=True):
+            for text, bitmap in zip(part.column("text").to_pylist(), part.column(name).to_pylist(), strict=True):
                 if bitmap is not None:
                     lines = (text or "").split("\n")
                     text = "\n".join([x for x, k in zip(lines, keep_mask(bitmap, len(lines)), strict=True) if k])
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in other), pa.array(out, pa.string())], names=[*other, "text"])
 
-    both = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs)).select(*other, "text", "bitmap")
+    both = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), name).select(*other, "text", name)
     schema = docs.select(*other, "text").schema
     return both.mapInArrow(cut, schema).select(*docs.columns)

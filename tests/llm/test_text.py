@@ -344,3 +344,24 @@ def test_pipeline_stages(spark, data, library):
             assert set(old) - set(new) == {d for d, _ in brute_matches(old.items(), bench)}
         else:
             assert set(old) == set(new)
+
+
+def test_stages_keep_columns_that_clash(spark, data):
+    """Extra columns named like the operators' own pass through every stage unchanged."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    own = ["bitmap", "score", "lang_pred", "th", "fp", "a", "b", "node", "label", "keep_id", "pos", "row", "item_id"]
+    docs = docs.selectExpr("*", *[f"doc_id * 2 AS {c}" for c in own])
+    for name, step in corpus_pipeline.STAGES:
+        out = stage(step(spark, docs, data), name)
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[c] == 2 * r.doc_id for r in out.collect() for c in own)
+            docs = out
+    assert out.count()
+
+
+def test_pipeline_of_nothing(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, data), name)
+        assert docs.count() == 0
