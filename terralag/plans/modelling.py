@@ -319,11 +319,12 @@ def scoring_with_gaps(spark, d):
 
 @query("J8_pipeline_selection_steps")
 def pipeline_selection_steps(spark, d):
-    """Variance threshold, k best, select-from-model and quantile scaling as swappable steps."""
+    """Variance threshold, k best, select-from-model and quantile scaling (of two bands) as swappable steps."""
     configs = [
         {"model": "linear", "scaler": scaler, "select": select, "params": {}}
         for scaler, select in (("quantile", None), ("standard", ("variance", 0.001)), ("minmax", ("k_best", 3)), ("robust", ("importance", 0.98)))
     ]
+    configs[0]["features"] = ["B04", "B08"]
     return tune.search(folded(spark, d), configs, t.MODEL_FEATURES, LABEL, 3, parallelism=4)
 
 
