@@ -200,16 +200,14 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, radius: int = 5) ->
     nodes = stage(seen.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("pairs").alias("pairs"), F.first("words").alias("words"), F.first("size").alias("size")), "nodes")
     found = []
     for kind in ("pairs", "words"):
-        first = stage(nodes.groupBy(F.col(kind).alias("fp")).agg(F.min("th").alias("th"), F.count("*").alias("n")), "fps")
+        first = stage(nodes.groupBy(F.col(kind).alias("fp")).agg(F.min("th").alias("th"), F.min_by("size", "th").alias("size"), F.count("*").alias("n")), "fps")
         links = near_links(first, radius, nearest=True).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-        ends = links.join(first.selectExpr("fp a", "th ta"), "a").join(first.selectExpr("fp b", "th tb"), "b")
-        found.append(ends.selectExpr("ta a", "tb b"))
-        same = nodes.withColumnRenamed(kind, "fp").join(first.where("n > 1").selectExpr("fp", "th tb"), "fp")
-        found.append(same.where("th <> tb").selectExpr("th a", "tb b"))
-    pairs = union_all(found).selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-    size = nodes.select("th", "size")
-    pairs = pairs.join(size.selectExpr("th a", "size na"), "a").join(size.selectExpr("th b", "size nb"), "b")
-    pairs = stage(pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), "pairs")
+        ends = links.join(first.selectExpr("fp a", "th ta", "size na"), "a").join(first.selectExpr("fp b", "th tb", "size nb"), "b")
+        found.append(ends.selectExpr("ta a", "tb b", "na", "nb"))
+        same = nodes.withColumnRenamed(kind, "fp").join(first.where("n > 1").selectExpr("fp", "th tb", "size nb"), "fp")
+        found.append(same.where("th <> tb").selectExpr("th a", "tb b", "size na", "nb"))
+    pairs = union_all(found).where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    pairs = stage(pairs.selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "pairs")
     met = pairs.selectExpr("a th").unionByName(pairs.selectExpr("b th")).distinct()
     one = nodes.join(met, "th").select("th", "first_id")
     shingles = keyed.join(one.withColumnRenamed("th", "t"), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("th", "text")
