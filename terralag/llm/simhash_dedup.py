@@ -15,6 +15,8 @@ bucket above ``bucket_limit`` fingerprints is not compared: its free bits are cu
 mask plus block, as often as needed. Nothing is capped. Inside a bucket a star to the smallest
 fingerprint per linked group is emitted, never all pairs.
 
+``similar_groups`` does not use fingerprints: it joins texts on an exact similarity of their word shingles.
+
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a text with
 fewer words than a shingle is one shingle; repeated rows and equal texts share a fingerprint; a null
 doc_id is kept and never names a component that has another id; an empty table gives an empty result;
@@ -23,6 +25,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +37,9 @@ from terralag.llm.common import components, slices, stage, texts, union_all
 
 BITS = 64
 BUCKET_LIMIT = 1024
+#: Slots of the shingle counts; places of a text's bitmap at most; texts of a short list; texts and shingles of a block.
+SLOT_BITS, SLOT_ROW, BITMAP, SHORT = 20, 1 << 12, 1 << 17, 32
+SLOTS, TEXT_BLOCK, BLOCK_SHINGLES = 1 << SLOT_BITS, 256, 1_000_000
 
 
 def shingle_hashes(text: str, width: int) -> list[int]:
@@ -86,42 +93,39 @@ def _finer(mask: int, blocks: int) -> list[int]:
     return [mask | sum(1 << i for i in free[j::blocks]) for j in range(blocks)]
 
 
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The smallest place reachable from each place of a symmetric matrix with a true diagonal."""
+    label = np.arange(len(near))
+    while True:
+        new = np.where(near, label[None, :], len(near)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new[new]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _stars(radius: int, nearest: bool):
-    """Stars to the smallest fingerprint per linked group; with ``nearest`` also a link to each one's nearest."""
+def _stars(radius: int):
+    """Stars to the smallest fingerprint per linked group."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
             for fps in batch.column("fps").to_pylist():
                 fps = np.unique(np.array(fps, dtype=np.int64))
-                bits = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64))
-                near = bits <= radius
-                label = np.arange(len(fps))
-                while True:
-                    new = np.where(near, label[None, :], len(fps)).min(axis=1)
-                    if (new == label).all():
-                        break
-                    label = new[new]
+                label = _labels(np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= radius)
                 move = label != np.arange(len(fps))
                 a.append(fps[move])
                 b.append(fps[label[move]])
-                if nearest and len(fps) > 1:
-                    np.fill_diagonal(bits, BITS + 1)
-                    best = bits.argmin(axis=1)
-                    close = bits[np.arange(len(fps)), best] <= radius
-                    a.append(fps[close])
-                    b.append(fps[best[close]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_LIMIT, nearest: bool = False) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``fps(fp)`` of distinct longs to links ``(a, b)`` with the components of all pairs in the radius."""
     masks, rows, found = dict(enumerate(covering_masks(radius))), fps.select("fp"), []
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("mask")) for t, m in masks.items()])
@@ -130,7 +134,7 @@ def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = BUCKET_LIMIT
         size = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
         met = stage(rows.join(size, ["t", "key"]), "buckets")
         small = met.where(F.col("n") <= bucket_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-        found.append(small.select("fps").mapInArrow(_stars(radius, nearest), "a long, b long"))
+        found.append(small.select("fps").mapInArrow(_stars(radius), "a long, b long"))
         hot = met.where(F.col("n") > bucket_limit)
         used = [r.t for r in hot.select("t").distinct().collect()]
         if not used:
@@ -158,71 +162,247 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3, bucket_limi
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketch(batches):
-    """Text hash, fingerprints of word pairs and of distinct words, and number of distinct 5-word shingles."""
+def _distinct_shingles(text: str) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, 5), np.uint64))
+
+
+def _slot_counts(batches):
+    """Texts per slot of the hashed shingles, in rows of ``SLOT_ROW`` slots."""
+    counts = np.zeros(SLOTS, np.int64)
     for part in slices(batches):
-        ts = texts(part)
-        pairs, words = fold([shingle_hashes(t, 2) for t in ts]), fold([list(set(shingle_hashes(t, 1))) for t in ts])
-        sizes = [len(set(shingle_hashes(t, 5))) for t in ts]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(pairs), pa.array(words), pa.array(sizes, pa.int64())], names=["doc_id", "th", "pairs", "words", "size"])
+        for t in texts(part):
+            np.add.at(counts, _slot(_distinct_shingles(t)), 1)
+    rows = counts.reshape(-1, SLOT_ROW)
+    used = np.flatnonzero(rows.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["place", "counts"])
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"place": table.column("place")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(docs: DataFrame) -> np.ndarray:
+    """About how many texts hold the shingles of each slot; an array of fixed size, whatever the input."""
+    rows = docs.select("text").mapInArrow(_slot_counts, "place long, counts binary")
+    out = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.int64)
+    for r in rows.groupBy("place").applyInArrow(_sum_counts, "place long, counts binary").toLocalIterator():
+        out[r.place] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
+def _sketch(sent, threshold: float):
+    """Number of distinct 5-word shingles, prefix and bitmap of each text.
+
+    A similarity of ``threshold`` needs ``ceil(threshold * size)`` common shingles, so under any order of all
+    shingles two such texts share one of their first ``size - ceil(threshold * size) + 1``: the prefix. The order is
+    by ``sent``'s counts, rare first, so common passages are seldom in a prefix. The bitmap has the parity of the
+    shingles at each place: two differ in no more places than the sets in shingles.
+    """
+
+    def run(batches):
+        counts = sent.value
+        for part in slices(batches):
+            sizes, prefix, bits = [], [], []
+            for t in texts(part):
+                h = _distinct_shingles(t)
+                n = len(h)
+                first = h[np.lexsort((h, counts[_slot(h)]))[: n - math.ceil(threshold * n - 1e-9) + 1]]
+                width = min(max(64, 1 << (4 * n - 1).bit_length() if n else 64), BITMAP)
+                odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                sizes.append(n)
+                prefix.append(first.view(np.int64) if n else np.zeros(1, np.int64))
+                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            flat = pa.array(np.concatenate(prefix))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(sizes, pa.int64()), lists, pa.array(bits, pa.binary())], names=["doc_id", "th", "size", "prefix", "bits"])
+
+    return run
 
 
 def _shingles(batches):
-    """The distinct 5-word shingles of each text, hashed to 32 bits and sorted."""
+    """The distinct 5-word shingles of each text, hashed and sorted."""
     for part in slices(batches):
-        found = [np.unique(np.array(shingle_hashes(t, 5), np.uint64).astype(np.uint32)).tobytes() for t in texts(part)]
+        found = [_distinct_shingles(t).tobytes() for t in texts(part)]
         yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(found, pa.binary())], names=["th", "sh"])
 
 
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both)
+
+
 def _similar(threshold: float):
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
+                keep.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _open_pairs(size: np.ndarray, label: np.ndarray, bits: list[bytes], threshold: float):
+    """Pairs of a block in different components whose sizes and bitmaps allow the similarity."""
+    width = np.array([len(b) for b in bits])
+    maps = {w: np.frombuffer(b"".join(b for b in bits if len(b) == w), np.uint64).reshape(-1, w // 8) for w in np.unique(width).tolist()}
+    places = {w: np.flatnonzero(width == w) for w in maps}
+    share = (1 - threshold) / (1 + threshold)
+    for w, own in maps.items():
+        for v, others in maps.items():
+            if v < w:
+                continue
+            other = others
+            while other.shape[1] > own.shape[1]:
+                half = other.shape[1] // 2
+                other = other[:, :half] ^ other[:, half:]
+            for i, row in zip(places[w].tolist(), own, strict=True):
+                j = places[v]
+                ok = (label[j] != label[i]) & (np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]) - 1e-9)
+                at = np.flatnonzero(ok)
+                apart = np.bitwise_count(other[at] ^ row).sum(axis=1, dtype=np.int64)
+                for x in j[at[apart <= share * (size[j[at]] + size[i]) + 1e-9]].tolist():
+                    yield i, x
+
+
+def _list_pairs(threshold: float):
+    """All pairs of a short list whose sizes allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for members in batch.column("members"):
+                m = members.values
+                th, size = m.field("th").to_numpy(), m.field("size").to_numpy()
+                i, j = np.nonzero((th[:, None] > th[None, :]) & (np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9))
+                a.append(th[i])
+                b.append(th[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Places in which two bitmaps differ, the wider one folded."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _may_be_similar(threshold: float):
+    """Pairs that the bitmaps do not rule out."""
+
+    def run(batches):
+        share = (1 - threshold) / (1 + threshold)
+        for batch in batches:
+            bits = zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), batch.column("total").to_pylist(), strict=True)
+            keep = [_apart(x, y) <= share * total + 1e-9 for x, y, total in bits]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def similar_groups(docs: DataFrame, threshold: float = 0.8, radius: int = 5) -> DataFrame:
+def _open_members(threshold: float):
+    """The texts of a block that open pairs connect, as sorted lists."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for members in batch.column("members"):
+                m = members.values
+                th, size, label = (m.field(c).to_numpy() for c in ("th", "size", "label"))
+                near = np.eye(len(th), dtype=bool)
+                for i, j in _open_pairs(size, label, m.field("bits").to_pylist(), threshold):
+                    near[i, j] = near[j, i] = True
+                group = _labels(near)
+                out += [np.unique(th[group == g]).tolist() for g in np.flatnonzero(np.bincount(group) > 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["ths"])
+
+    return run
+
+
+def _verified_stars(threshold: float):
+    """Stars over the similar pairs of a block; pairs that are in one component already are not compared."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column("members"):
+                m = members.values
+                th, label = m.field("th").to_numpy(), m.field("label").to_numpy().copy()
+                sh = [np.frombuffer(x, np.uint64) for x in m.field("sh").to_pylist()]
+                for i in range(len(th)):
+                    for j in range(i):
+                        small, big = sorted((len(sh[i]), len(sh[j])))
+                        if label[i] != label[j] and small >= threshold * big - 1e-9 and _alike(sh[i], sh[j], threshold):
+                            label[label == label[i]] = label[j]
+                            a.append(int(th[i]))
+                            b.append(int(th[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, threshold: float = 0.8, block: int = TEXT_BLOCK) -> DataFrame:
     """``(doc_id, th, keep_id)``: groups of equal texts and of texts whose 5-word shingles are similar.
 
-    Candidates come from covering tables over two fingerprints, of word pairs and of distinct words, which move
-    little when a text is edited; each fingerprint is linked to its bucket's smallest and to its nearest. The exact
-    Jaccard similarity of the 5-word shingles decides. ``th`` is ``xxhash64`` of the text, ``keep_id`` the smallest
-    doc_id of the group.
+    Exact: similar texts share a shingle of their prefixes (see ``_sketch``), so they meet in its list. Sizes and
+    bitmaps, which rule out no similar pair, come first, then the exact Jaccard similarity of the shingles decides.
+    All pairs of a list of up to ``SHORT`` texts are compared. In longer lists texts are first compared with the
+    smallest; what that leaves in different components is compared pair by pair in blocks of about ``block`` texts,
+    which give a forest of verified links, never all pairs.
+    ``th`` is ``xxhash64`` of the text, ``keep_id`` the smallest doc_id of the group.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    seen = stage(keyed.mapInArrow(_sketch, "doc_id long, th long, pairs long, words long, size long"), "sketches")
-    nodes = stage(seen.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("pairs").alias("pairs"), F.first("words").alias("words"), F.first("size").alias("size")), "nodes")
-    found = []
-    for kind in ("pairs", "words"):
-        first = stage(nodes.groupBy(F.col(kind).alias("fp")).agg(F.min("th").alias("th"), F.min_by("size", "th").alias("size"), F.count("*").alias("n")), "fps")
-        links = near_links(first, radius, nearest=True).where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-        ends = links.join(first.selectExpr("fp a", "th ta", "size na"), "a").join(first.selectExpr("fp b", "th tb", "size nb"), "b")
-        found.append(ends.selectExpr("ta a", "tb b", "na", "nb"))
-        same = nodes.withColumnRenamed(kind, "fp").join(first.where("n > 1").selectExpr("fp", "th tb", "size nb"), "fp")
-        found.append(same.where("th <> tb").selectExpr("th a", "tb b", "size na", "nb"))
-    pairs = union_all(found).where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = stage(pairs.selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "pairs")
-    met = pairs.selectExpr("a th").unionByName(pairs.selectExpr("b th")).distinct()
-    one = nodes.join(met, "th").select("th", "first_id")
+    sent = docs.sparkSession.sparkContext.broadcast(slot_counts(keyed))
+    seen = stage(keyed.mapInArrow(_sketch(sent, threshold), "doc_id long, th long, size long, prefix array<long>, bits binary"), "sketches")
+    nodes = stage(seen.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "nodes")
+    rows = nodes.select("th", "size", F.explode("prefix").alias("key"))
+    lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min(F.struct("th", "size")).alias("low"), F.bit_xor(F.xxhash64("th")).alias("x"), F.bit_xor(F.xxhash64("th", F.lit(7))).alias("y"))
+    # lists of the same texts are looked at once
+    lists = lists.where("n > 1").groupBy("n", "total", "low", "x", "y").agg(F.min("key").alias("key")).drop("x", "y")
+    met = stage(rows.join(lists, "key"), "lists")
+    small = met.where(F.col("n") <= SHORT).groupBy("key").agg(F.collect_list(F.struct("th", "size")).alias("members"))
+    sizes = F.least("size", "low.size") >= threshold * F.greatest("size", "low.size") - 1e-9
+    stars = met.where((F.col("n") > SHORT) & (F.col("th") != F.col("low.th")) & sizes).selectExpr("th a", "low.th b")
+    pairs = small.select("members").mapInArrow(_list_pairs(threshold), "a long, b long").unionByName(stars).distinct()
+    maps = nodes.select("th", "size", "bits")
+    both = pairs.join(maps.selectExpr("th a", "size na", "bits xa"), "a").join(maps.selectExpr("th b", "size nb", "bits xb"), "b")
+    pairs = stage(both.selectExpr("a", "b", "na + nb total", "xa", "xb").mapInArrow(_may_be_similar(threshold), "a long, b long"), "pairs")
+    long = met.where(F.col("n") > SHORT)
+    need = pairs.selectExpr("a th").unionByName(pairs.selectExpr("b th")).unionByName(long.select("th")).distinct()
+    one = nodes.select("th", "first_id").join(need, "th")
     shingles = keyed.join(one.withColumnRenamed("th", "t"), (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("th", "text")
     shingles = stage(shingles.mapInArrow(_shingles, "th long, sh binary").dropDuplicates(["th"]), "shingles")
     both = pairs.join(shingles.selectExpr("th a", "sh sa"), "a").join(shingles.selectExpr("th b", "sh sb"), "b")
-    labels = components(both.mapInArrow(_similar(threshold), "a long, b long")).withColumnRenamed("node", "th")
+    links = stage(both.mapInArrow(_similar(threshold), "a long, b long"), "links")
+    labels = components(links).withColumnRenamed("node", "th")
+    known = stage(shingles.select("th").join(labels, "th", "left").select("th", F.coalesce("label", "th").alias("label")), "labels")
+    open_ = long.select("key", "th").join(known, "th").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    left = long.join(open_, "key").join(known, "th").join(nodes.select("th", "bits"), "th")
+    left = left.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("total") / BLOCK_SHINGLES)).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("th"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    left = left.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.struct("th", "size", "label", "bits").alias("m"))
+    blocks = left.groupBy("key", "p", "q").agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_open_members(threshold), "ths array<long>")
+    blocks = stage(blocks.dropDuplicates(["ths"]), "blocks").select(F.xxhash64("ths").alias("id"), F.explode("ths").alias("th"))
+    full = blocks.join(known, "th").join(shingles, "th").groupBy("id").agg(F.collect_list(F.struct("th", "label", "sh")).alias("members"))
+    more = full.select("members").mapInArrow(_verified_stars(threshold), "a long, b long")
+    labels = components(links.unionByName(more)).withColumnRenamed("node", "th")
     linked = stage(nodes.select("th", "first_id").join(labels, "th"), "labels")
     low = linked.groupBy("label").agg(F.min("first_id").alias("low_id"))
     best = linked.join(low, "label").select("th", "low_id")
-    ids = nodes.join(best, "th", "left").select("th", F.coalesce("low_id", "first_id").alias("keep_id"))
-    return seen.join(ids, "th").select("doc_id", "th", "keep_id")
+    ids = nodes.select("th", "first_id").join(best, "th", "left").select("th", F.coalesce("low_id", "first_id").alias("keep_id"))
+    return seen.select("doc_id", "th").join(ids, "th").select("doc_id", "th", "keep_id")
 
 
-def drop_near_copies(docs: DataFrame, threshold: float = 0.8, radius: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the documents whose group has a smaller doc_id; columns as they are."""
-    groups = similar_groups(docs, threshold, radius).where("doc_id <> keep_id").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    groups = similar_groups(docs, threshold).where("doc_id <> keep_id").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     same = (docs["doc_id"].cast("long") == groups["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == groups["_th"])
     return docs.join(groups, same, "left_anti")

@@ -110,6 +110,28 @@ def test_similar_groups_are_exact(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(12), *range(200, 212), 400])
 
 
+@pytest.mark.parametrize("block", [256, 20])
+def test_similar_groups_against_all_pairs(spark, docs_of, block):
+    """Edits of one base, alike through some of the others only, and short texts that share a fingerprint's words."""
+    rng = random.Random(8)
+    base, rows = [f"w{rng.randrange(4000)}" for _ in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(200), 4):
+            w[j] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    chain = list(base[::-1])
+    for i in range(60):
+        chain[(i * 7) % 200] = f"chain{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    rows += [(2000 + i, " ".join(f"t{(i // 2 * 31 + j * j) % 50}" for j in range(8 + i % 5))) for i in range(60)]
+    sets = [set(shingle_hashes(t, 5)) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {rows[i][0]: rows[k][0] for i, k in enumerate(smallest(len(rows), pairs))}
+    got = {r.doc_id: r.keep_id for r in simhash_dedup.similar_groups(docs_of(rows), block=block).collect()}
+    assert got == want
+
+
 def brute_lines(rows, min_chars=20, min_docs=3):
     keys = {}
     for d, t in rows:
