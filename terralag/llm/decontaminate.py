@@ -3,7 +3,8 @@
 Texts and items are lower-cased (A-Z), cut into words at blanks and into shingles of ``width`` words (an item
 with fewer words is one shingle). For every item size, each window of so many shingles in a text that could
 be similar enough gets a SimHash: a similarity of ``threshold`` needs that share of the window's shingles to be
-the benchmark's, so windows with fewer are not hashed. That bound is exact and loses no match.
+the benchmark's, so windows with fewer are not hashed. That bound is exact and loses no match. A text with fewer
+shingles than an item is one window, if it has that share of the item's number, and is compared without a SimHash.
 
 Items of the window's size are found by multi-index Hamming blocks: fingerprints are cut into 8 bytes, and each
 byte's table has the items within ``radius // 8`` bits of it. Any item within ``radius`` bits differs by no more
@@ -156,6 +157,15 @@ def matches(index: Index, words: Words, hashes: dict, hit: dict, text: int) -> d
         if lo == hi:
             continue
         own = hit[k][lo:hi] - a
+        for m, box in [(m, box) for (kk, m), box in index.sizes.items() if kk == k and m > n]:
+            if min(n, hi - lo) >= index.threshold * m - 1e-9:
+                bag, own_print = Counter(words.run(a + x, k) for x in range(n)), None
+                for which, other in enumerate(box["bags"]):
+                    s = similarity(other, bag)
+                    if s >= index.threshold:
+                        if own_print is None:
+                            own_print = votes_to_prints(bits_of(hashes[k][a : a + n]).sum(axis=0, dtype=np.int32)[None, :], [n])[0]
+                        found[box["ids"][which], id(box), which] = (s, int(np.bitwise_count(own_print ^ box["prints"][which])), 0, b - a)
         sizes = [(m, box) for (kk, m), box in index.sizes.items() if kk == k and m <= n]
         if not sizes:
             continue

@@ -308,6 +308,28 @@ def test_decontamination_against_brute_force(spark, docs_of, data, monkeypatch):
     assert decontaminate.contaminated(docs_of(docs), bench.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item(spark, docs_of):
+    """The whole document is the window: items less some words, compared with all items."""
+    rng = random.Random(13)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for i, n in enumerate([60, 60, 61, 12, 9, 7, 30])]
+    docs = []
+    for i, t in items:
+        w = t.split(" ")
+        for cut in range(1, min(len(w) - 1, 14)):
+            docs += [(100 * i + cut, " ".join(w[cut:])), (1000 + 100 * i + cut, " ".join(w[: len(w) - cut])), (2000 + 100 * i + cut, " ".join(w[cut // 2 : len(w) - (cut - cut // 2)]))]
+        docs.append((3000 + i, " ".join([*w[1 : len(w) // 2], "edited", *w[len(w) // 2 + 1 :]])))
+    want = {}
+    for d, t in docs:
+        w = t.split(" ")
+        for i, u in items:
+            bags = [Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4)) for x in (w, u.split(" "))]
+            if (s := decontaminate.similarity(*bags)) >= 0.8:
+                want[d, i] = (round(s, 9), len(w))
+    bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.n_words) for r in decontaminate.contaminated(docs_of(docs), bench).collect()}
+    assert got == want and (6, 0) in want
+
+
 def test_byte_tables_find_all_within_the_radius():
     rng = np.random.default_rng(8)
     items = [(i, " ".join(f"w{rng.integers(500)}" for _ in range(30))) for i in range(40)]
