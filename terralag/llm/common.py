@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralag.session import new_path
@@ -58,6 +58,22 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def positions(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with the 0-based position of each row in ``order`` as ``name``.
+
+    Rows are dealt by ranges of ``order`` and sorted where they are; what goes to one task is one count per
+    partition. Rows that are equal in ``order`` may share a position's neighbourhood in any order.
+    """
+    at, part = free_name(df, "_at"), free_name(df, "_part")
+    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select(part, before.alias("_first"))
+    out = placed.join(F.broadcast(first), part)  # one row per partition
+    return out.select(*df.columns, (F.col("_first") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
 def _local_labels(frames):
     """Smallest reachable node of every node, for all edges of one task."""
     import pandas as pd

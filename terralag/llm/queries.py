@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, with SQL where SQL can express them."""
+"""The queries op1 to op13, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralag.llm import decontaminate, embedding_dedup, html_text, langid, line_dedup, packing, pii, simhash_dedup, suffix_tree, token_count
+from terralag.llm import decontaminate, embedding_dedup, html_text, langid, line_dedup, merkle, packing, pii, resample, secret_scan, simhash_dedup, suffix_tree, token_count
 from terralag.llm.common import slices, table, texts
+from terralag.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +117,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = resample.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_secret_scan", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), arity=3, changed={"text": tampered})
+    text = merkle.hex_text
+    rows = rows.select("doc_id", text(F.col("leaf")).alias("leaf"), text(F.col("subroot")).alias("subroot"), text(F.col("root")).alias("root"), F.sha2(merkle.proof_text(F.col("steps")), 256).alias("proof_sha256"), merkle.fold(text(F.col("other")), F.col("steps")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
