@@ -2,8 +2,10 @@
 
 A series is monthly, so its arrays are short; parallelism comes from the number of
 (series, order block) and (series, origin) pairs, each an independent small least-squares fit.
-Models are fitted by the two-stage Hannan-Rissanen regression: a long autoregression supplies
-innovations, then one regression on lagged values, lagged innovations and the regressor.
+Orders without seasonal lags are fitted by the two-stage Hannan-Rissanen regression: a long autoregression supplies
+innovations, then one regression on lagged values, lagged innovations and the regressor. Orders with seasonal lags
+multiply the plain and the seasonal polynomial and are fitted by conditional least squares
+(:mod:`terralag.operators.seasonal`).
 """
 
 from __future__ import annotations
@@ -14,13 +16,11 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window, functions as F
 
 from terralag.functions.metrics import evaluate
 from terralag.operators.correlation import safe_corr
-from terralag.operators.series import lag_table
+from terralag.operators.seasonal import fit_products
 from terralag.operators.stationarity import series_arrays
 
 Order = tuple[int, int, int, int, int, int]  # p, d, q, seasonal P, D, Q
@@ -49,9 +49,10 @@ def residual_start(n: int, order: Order, period: int = PERIOD) -> int:
     """Months of a series of ``n`` that the fit of ``order`` spends before its first residual."""
     p, d, q, sp, sd, sq = order
     lost = d + period * sd
-    ar, ma = max(p, period * sp), max(q, period * sq)
-    start = min(max(ar, ma) + 1, (n - lost) // 3) + ma if ma else 0
-    return lost + max(start, ar)
+    if sp or sq:
+        return lost + p + period * sp
+    start = min(max(p, q) + 1, (n - lost) // 3) + q if q else 0
+    return lost + max(start, p)
 
 
 def common_start(n: int, orders: Sequence[Order], period: int = PERIOD) -> int:
@@ -65,7 +66,11 @@ def common_start(n: int, orders: Sequence[Order], period: int = PERIOD) -> int:
 
 
 class SeasonalFit:
-    """One fitted model; raises ``ValueError`` when the series is too short for the order."""
+    """One fitted model; raises ``ValueError`` when the series is too short for the order.
+
+    ``coef`` has plain and seasonal autoregressive, then plain and seasonal moving-average coefficients, then that of
+    the regressor.
+    """
 
     def __init__(self, y, order: Order, x=None, period: int = PERIOD):
         p, d, q, sp, sd, sq = order
@@ -77,8 +82,34 @@ class SeasonalFit:
             raise ValueError("series too short")
         self.w = np.convolve(self.y, self.poly, "valid")
         self.xw = None if self.x is None else np.convolve(self.x, self.poly, "valid")
-        self.ar = sorted({*range(1, p + 1), *(period * i for i in range(1, sp + 1))})
-        self.ma = sorted({*range(1, q + 1), *(period * i for i in range(1, sq + 1))})
+        if sp or sq:
+            self._fit_products(p, q, sp, sq, period)
+        else:
+            self._fit_lags(range(1, p + 1), range(1, q + 1))
+        m = len(self.resid)
+        sse = float(self.resid @ self.resid)
+        if not math.isfinite(sse):
+            raise ValueError("no finite fit")
+        self.aic = m * math.log(max(sse, 1e-300) / m) + 2 * (len(self.coef) + 1)
+        self.offset = lost + self.start  # position of the first residual in y
+
+    def _fit_products(self, p: int, q: int, sp: int, sq: int, period: int) -> None:
+        lags = ([*range(1, p + 1), *(period * i for i in range(1, sp + 1))], [*range(1, q + 1), *(period * i for i in range(1, sq + 1))])
+        try:
+            self._fit_lags(*lags)
+            first = self.coef
+        except (ValueError, np.linalg.LinAlgError):
+            first = None  # too short for the regressions, perhaps not for the model
+        found = fit_products(self.w, self.xw, p, q, sp, sq, period, first)
+        self.coef, self.e, self.start = found.coef, found.e, found.start
+        self.ar = [int(i) for i in np.flatnonzero(found.ar) if i]
+        self.ma = [int(j) for j in np.flatnonzero(found.ma) if j]
+        self.weights = np.concatenate([-found.ar[self.ar], found.ma[self.ma], found.coef[len(found.coef) - (self.x is not None) :]])
+        self.resid = found.e[found.start :]
+
+    def _fit_lags(self, ar, ma) -> None:
+        """The two-stage regression on single lags."""
+        self.ar, self.ma = list(ar), list(ma)
         n = len(self.w)
         start = 0
         self.e = np.zeros(n)
@@ -102,13 +133,8 @@ class SeasonalFit:
             fitted = z @ self.coef
         else:
             self.coef, fitted = np.zeros(0), np.zeros(len(target))
+        self.weights = self.coef
         self.resid = target - fitted
-        m = len(target)
-        sse = float(self.resid @ self.resid)
-        if not math.isfinite(sse):
-            raise ValueError("no finite fit")
-        self.aic = m * math.log(max(sse, 1e-300) / m) + 2 * (k + 1)
-        self.offset = lost + self.start  # position of the first residual in y
 
     def aic_from(self, first: int) -> float:
         """The criterion over the months from ``first`` on; a change of unit shifts it for all orders alike."""
@@ -137,7 +163,7 @@ class SeasonalFit:
         if self.x is not None:
             tail = np.append(self.x[len(self.x) - len(self.poly) + 1 :], x_next)
             parts.append(float(self.poly @ tail[::-1]))
-        step = float(np.dot(self.coef, parts)) if parts else 0.0
+        step = float(np.dot(self.weights, parts)) if parts else 0.0
         back = self.y[::-1][: len(self.poly) - 1]
         return step - float(self.poly[1:] @ back)
 
@@ -214,9 +240,55 @@ def search_orders(panel, key, ts, value, orders, exog=None, exog_keys=None) -> D
     return best_orders(fit_orders(panel, key, ts, value, orders, exog, exog_keys), panel, key)
 
 
-def _forecast_tasks(arrays: DataFrame, best: DataFrame, key: str, positions) -> DataFrame:
-    """One row per (key, position); positions past the stored series are forecasts without actuals."""
-    return _spread(arrays.join(best, key).withColumn("pos", F.explode(positions)), key, "pos")
+def linear_in_coefficients(order: Order) -> bool:
+    """Whether the fit is one least-squares problem: no moving average, no product of two polynomials."""
+    p, _, q, sp, _, sq = order
+    return not q and not sq and not (p and sp)
+
+
+def recursive_guesses(y: np.ndarray, order: Order, origins: Sequence[int], x: np.ndarray | None = None, period: int = PERIOD) -> list[float | None]:
+    """The one-step forecasts of a linear order at all ``origins``, by recursive least squares over the series once.
+
+    Equal to a refit at each origin; None where the months before an origin are too few. Raises ``LinAlgError``
+    when the design is too close to singular for updates.
+    """
+    p, d, _, sp, sd, _ = order
+    poly = _difference_poly(d, sd, period)
+    lost = len(poly) - 1
+    w = np.convolve(y, poly, "valid")
+    lags = [*range(1, p + 1), *(period * i for i in range(1, sp + 1))]
+    first = max(lags, default=0)
+    rows = np.arange(first, len(w))
+    columns = [w[rows - i] for i in lags] + ([np.convolve(x, poly, "valid")[rows]] if x is not None else [])
+    z = np.column_stack(columns) if columns else np.zeros((len(rows), 0))
+    k, out, coef, inverse, seen = z.shape[1], {}, None, None, 0
+    for origin in sorted(set(origins)):
+        known = origin - lost - first  # rows whose target is before the origin
+        if origin <= lost + 2 or known < k + 3:
+            out[origin] = None
+            continue
+        if coef is None and k:
+            gram = z[:known].T @ z[:known]
+            if not np.isfinite(gram).all() or np.linalg.cond(gram) > 1e10:
+                raise np.linalg.LinAlgError("the design is close to singular")
+            inverse, seen = np.linalg.inv(gram), known
+            coef = inverse @ (z[:known].T @ w[rows[:known]])
+        for i in range(seen, known) if k else ():
+            v = inverse @ z[i]
+            v_scaled = v / (1.0 + z[i] @ v)
+            coef = coef + v_scaled * (w[rows[i]] - z[i] @ coef)
+            inverse = inverse - np.outer(v_scaled, v)
+        seen = max(seen, known)
+        step = float(z[known] @ coef) if k else 0.0
+        out[origin] = step - float(poly[1:] @ y[:origin][::-1][:lost])
+    return [out[o] for o in origins]
+
+
+def _forecast_tasks(arrays: DataFrame, best: DataFrame, key: str, positions, together) -> DataFrame:
+    """A row per (key, origin), or per key with all origins where ``together``."""
+    origins = F.when(together, F.array("origins")).otherwise(F.transform("origins", lambda x: F.array(x)))
+    rows = arrays.join(best, key).withColumn("origins", positions).withColumn("origins", F.explode(origins))
+    return _spread(rows, key, "origins")
 
 
 def rolling_forecasts(
@@ -232,8 +304,9 @@ def rolling_forecasts(
 ) -> DataFrame:
     """``(key, ts, actual, predicted)`` for the last ``test_size`` rows of each series.
 
-    With ``horizon=1`` every row is predicted from the actual rows before it, refitting each time;
-    rows are independent tasks. With a longer horizon every ``horizon``-th origin predicts that many
+    With ``horizon=1`` every row is predicted from the actual rows before it: orders that are linear in their
+    coefficients take one pass of recursive least squares over a series, the others a refit for each row, and these
+    are independent tasks. With a longer horizon every ``horizon``-th origin predicts that many
     steps, feeding its own predictions back. Nothing at or after the origin is seen except the
     regressor's value for the predicted month.
     """
@@ -248,25 +321,43 @@ def _forecast_at(arrays, best, key, ts, origins, exog_keys, horizon) -> DataFram
     allowed = None if exog_keys is None else set(exog_keys)
     schema = f"`{key}` {dict(arrays.dtypes)[key]}, pos int, predicted double"
 
+    def refits(r, order, y) -> list[tuple]:
+        rows = []
+        for origin in r["origins"]:
+            history = list(y[:origin])
+            for pos in range(origin, min(origin + horizon, len(y))):
+                xs = _clean_x(r["x"], allowed is None or r[key] in allowed, pos)
+                try:
+                    fit = SeasonalFit(history, order, None if xs is None else xs[:pos])
+                    guess = fit.forecast(None if xs is None else xs[pos])
+                except (ValueError, np.linalg.LinAlgError):
+                    guess = history[-1]  # too little history for the order: last value
+                rows.append((r[key], pos, float(guess)))
+                history.append(guess)
+        return rows
+
+    def one_pass(r, order, y) -> list[tuple]:
+        origins = [int(o) for o in r["origins"]]
+        xs = _clean_x(r["x"], allowed is None or r[key] in allowed, min(origins))
+        if xs is not None and not np.array_equal(xs, _clean_x(r["x"], True, max(origins))):
+            return refits(r, order, y)  # a leading gap of the regressor is filled otherwise at later origins
+        try:
+            guesses = recursive_guesses(y, order, origins, xs)
+        except (ValueError, np.linalg.LinAlgError):
+            return refits(r, order, y)
+        return [(r[key], o, float(y[o - 1] if g is None else g)) for o, g in zip(origins, guesses, strict=True)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
                 y = np.asarray(r["y"], dtype=float)
                 order = tuple(int(r[f]) for f in ORDER_FIELDS)
-                history = list(y[: r["pos"]])
-                for pos in range(r["pos"], min(r["pos"] + horizon, len(y))):
-                    xs = _clean_x(r["x"], allowed is None or r[key] in allowed, pos)
-                    try:
-                        fit = SeasonalFit(history, order, None if xs is None else xs[:pos])
-                        guess = fit.forecast(None if xs is None else xs[pos])
-                    except (ValueError, np.linalg.LinAlgError):
-                        guess = history[-1]  # too little history for the order: last value
-                    rows.append((r[key], pos, float(guess)))
-                    history.append(guess)
+                rows += (one_pass if horizon == 1 and linear_in_coefficients(order) else refits)(r, order, y)
             yield pd.DataFrame(rows, columns=[key, "pos", "predicted"])
 
-    tasks = _forecast_tasks(arrays.drop("times"), best.select(key, *ORDER_FIELDS), key, origins)
+    together = F.lit(horizon == 1) & (F.col("q") == 0) & (F.col("sq") == 0) & ((F.col("p") == 0) | (F.col("sp") == 0))
+    tasks = _forecast_tasks(arrays.drop("times"), best.select(key, *ORDER_FIELDS), key, origins, together)
     guesses = tasks.mapInPandas(run, schema)
     cells = F.arrays_zip(F.col("times").alias("t"), F.col("y").alias("v"))
     actual = arrays.select(key, F.posexplode(cells).alias("pos", "c"))
@@ -308,46 +399,66 @@ def residual_correlation(residuals: DataFrame, panel: DataFrame, key: str, ts: s
     return joined.groupBy(key).agg(safe_corr("residual", exog).alias("r"))
 
 
+def boost_stumps(x: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.1):
+    """Squared-error boosting of one-split trees on a small table: the start value and ``(column, cut, below, above)`` each."""
+    start = float(y.mean())
+    left, trees = y - start, []
+    orders = np.argsort(x, axis=0, kind="stable")
+    ranked = np.take_along_axis(x, orders, axis=0)
+    open_ = ranked[1:] > ranked[:-1]  # a split lies between two different values
+    if not open_.any():
+        return start, trees
+    below = np.arange(1, len(y))[:, None]
+    for _ in range(rounds):
+        sums = np.cumsum(left[orders], axis=0)
+        low, all_ = sums[:-1], sums[-1:]
+        gain = np.where(open_, low**2 / below + (all_ - low) ** 2 / (len(y) - below), -np.inf)
+        i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        cut = (ranked[i, j] + ranked[i + 1, j]) / 2
+        down, up = rate * low[i, j] / (i + 1), rate * (all_[0, j] - low[i, j]) / (len(y) - i - 1)
+        trees.append((int(j), float(cut), float(down), float(up)))
+        left = left - np.where(x[:, j] <= cut, down, up)
+    return start, trees
+
+
+def _residual_steps(values: np.ndarray, lags: int, steps: int, trees: int) -> list[float]:
+    """The next residuals of one series, later lags being earlier results; none if it is too short."""
+    if len(values) < 2 * lags + 2:
+        return []
+    table = np.lib.stride_tricks.sliding_window_view(values, lags + 1)
+    start, found = boost_stumps(table[:, -2::-1], table[:, -1], trees)
+    state, out = list(values[: -lags - 1 : -1]), []
+    for _ in range(steps):
+        guess = start + sum(down if state[j] <= cut else up for j, cut, down, up in found)
+        out.append(float(guess))
+        state = [guess, *state[:-1]]
+    return out
+
+
 def hybrid_forecasts(forecasts: DataFrame, residuals: DataFrame, key: str, ts: str, lags: int = 3, trees: int = 100) -> DataFrame:
     """Adds ``residual_forecast`` and ``hybrid`` to rolling forecasts.
 
-    One boosted-tree model learns the next residual from the previous ``lags``, all in units of their
-    series' spread, so series of any scale count alike. From the last training residuals it is then
-    applied step by step, later lags being its own output.
+    Every series has its own boosted model of the next residual from the previous ``lags``, fitted on its residuals
+    before the first forecast and then applied step by step, later lags being its own output. All series are one job
+    over packed arrays. A series too short for a model keeps its plain forecast.
     """
-    names = [f"lag_{i}" for i in range(1, lags + 1)]
-    # residuals of forecast dates would leak, so only earlier ones train and start the recursion
-    start = forecasts.groupBy(key).agg(F.min(ts).alias("_start"), F.count(F.lit(1)).alias("_steps"))
+    start = forecasts.groupBy(key).agg(F.min(ts).alias("_start"), F.count(F.lit(1)).cast("int").alias("_steps"))
     past = residuals.join(start, key).filter(F.col(ts) < F.col("_start"))
-    unit = past.groupBy(key).agg(F.coalesce(F.nullif(F.stddev_pop("residual"), F.lit(0.0)), F.lit(1.0)).alias("_unit"))
-    past = past.join(unit, key).withColumn("residual", F.col("residual") / F.col("_unit"))
-    vector = VectorAssembler(inputCols=names, outputCol="_lags")
-    train = vector.transform(lag_table(past, key, ts, "residual", lags))
-    model = GBTRegressor(featuresCol="_lags", labelCol="target", predictionCol="_p", maxIter=trees, maxDepth=3, seed=42).fit(train)
-    last = past.groupBy(key).agg(
-        F.slice(F.reverse(F.sort_array(F.collect_list(F.struct(ts, "residual")))), 1, lags).alias("_l")
-    )
-    state = last.filter(F.size("_l") == lags).select(
-        key, *[F.element_at("_l", i + 1)["residual"].alias(n) for i, n in enumerate(names)]
-    )
-    steps = forecasts.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    made = []
-    for _ in range(steps):
-        state = model.transform(vector.transform(state)).drop("_lags")
-        made.append(f"_s{len(made)}")
-        state = state.withColumn(made[-1], F.col("_p")).drop("_p")
-        shifted = ["lag_0"] + names[:-1]
-        state = state.withColumn("lag_0", F.col(made[-1]))
-        state = state.withColumns({n: F.col(o) for n, o in zip(names, shifted)}).drop("lag_0")
-    if not made:
-        return forecasts.withColumns({"residual_forecast": F.lit(0.0), "hybrid": F.col("predicted")})
-    guesses = state.select(key, F.posexplode(F.array(*made)).alias("_step", "residual_forecast"))
-    guesses = guesses.join(unit, key).withColumn("residual_forecast", F.col("residual_forecast") * F.col("_unit")).drop("_unit")
+    packed = past.groupBy(key, "_steps").agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("residual").alias("e")))).alias("_rows"))
+    packed = packed.select(key, "_steps", F.col("_rows.e").alias("_e"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, steps, e in zip(batch[key], batch["_steps"], batch["_e"]):
+                values = np.asarray(e, dtype=float)
+                out += [(name, i, g) for i, g in enumerate(_residual_steps(values[np.isfinite(values)], lags, int(steps), trees))]
+            yield pd.DataFrame(out, columns=[key, "_step", "residual_forecast"])
+
+    guesses = _spread(packed, key).mapInPandas(run, f"`{key}` {dict(packed.dtypes)[key]}, _step int, residual_forecast double")
     step = F.row_number().over(Window.partitionBy(key).orderBy(ts)) - 1
     joined = forecasts.withColumn("_step", step).join(guesses, [key, "_step"], "left").drop("_step")
-    return joined.withColumn(
-        "hybrid", F.col("predicted") + F.coalesce(F.col("residual_forecast"), F.lit(0.0))
-    )
+    return joined.withColumn("hybrid", F.col("predicted") + F.coalesce(F.col("residual_forecast"), F.lit(0.0)))
 
 
 def rolling_cv(panel, best, key, ts, value, n_splits: int = 5, exog=None, exog_keys=None) -> DataFrame:
