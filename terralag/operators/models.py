@@ -25,6 +25,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, functions as F
 
+from terralag.operators.predictors import moment_regression
 from terralag.operators.steps import SCALERS, Assembler, Bagging, MedianImputer, Penalised, step_name
 
 MAX_DEPTH = 30
@@ -141,6 +142,11 @@ MODELS: dict[str, Callable[..., Estimator]] = {
     "glm": lambda **p: GeneralizedLinearRegression(family="gaussian", link="identity", **p),
     "decision_tree": lambda max_depth=None, **p: DecisionTreeRegressor(maxDepth=_depth(max_depth), seed=SEED, **p),
     "factorization": lambda **p: FMRegressor(seed=SEED, **p),
+    "huber": moment_regression("huber"),
+    "quantile": moment_regression("quantile"),
+    "ransac": moment_regression("consensus"),
+    "lasso_lars_ic": moment_regression("lasso_path"),
+    "kernel_ridge": moment_regression("kernel"),
 }
 
 def make_pipeline(

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from terralag.operators.models import make_pipeline
+from terralag.operators.moments import FORWARD_SCHEMA
 from terralag.operators.tuning import fold_scores, summarise_folds
 
 
@@ -28,10 +29,6 @@ def select_from_model(importances: DataFrame, factor: float = 1.0) -> DataFrame:
     return importances.filter(F.col("importance") >= factor * mean)
 
 
-FORWARD_SCHEMA = (
-    "num_features int, features array<string>, r2_mean double, r2_std double, mape_mean double, mape_std double"
-)
-
 
 def forward_selection(
     df: DataFrame,

@@ -1,11 +1,12 @@
 """Pipeline steps that are fitted on one table and applied to another.
 
-A fitted step of scalars is an ``SQLTransformer``, so it runs in the JVM and is saved with its pipeline;
-the quantile step keeps its points on the driver and cannot be saved.
+A fitted step of scalars is an ``SQLTransformer``; the others are transformers with parameters
+(:mod:`terralag.operators.predictors`). Either runs in the JVM and is saved with its pipeline.
 """
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -16,6 +17,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 from pyspark.sql import DataFrame, functions as F
 
 from terralag.operators import scaling
+from terralag.operators.predictors import QuantileModel
 from terralag.operators.quantiles import exact_quantiles
 from terralag.schemas import finite
 
@@ -62,22 +64,13 @@ class AffineScaler(Estimator):
         return SQLTransformer(statement=f"SELECT * EXCEPT ({drop}), {', '.join(terms)} FROM __THIS__")
 
 
-class QuantileModel(Transformer):
-    def __init__(self, points: dict, output: str):
-        super().__init__()
-        self.points, self.output = points, output
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return scaling.apply_quantiles(df, self.points, self.output)
-
-
 class QuantileScaler(Estimator):
     def __init__(self, columns: Sequence[str], n: int = 100, output: str = "normal"):
         super().__init__()
         self.columns, self.n, self.output = list(columns), n, output
 
     def _fit(self, df: DataFrame) -> Transformer:
-        return QuantileModel(scaling.fit_quantiles(df, self.columns, self.n), self.output)
+        return QuantileModel(points=json.dumps(scaling.fit_quantiles(df, self.columns, self.n)), output=self.output)
 
 
 SCALERS: dict[str, Callable[[Sequence[str]], Estimator]] = {

@@ -223,5 +223,10 @@ ZOO: dict[str, dict] = {
     "random_forest": {"n_estimators": 20, "max_depth": 6},
     "gradient_boosting": {"n_estimators": 20, "max_depth": 4},
     "factorization": {"maxIter": 20, "stepSize": 0.01, "factorSize": 4},
+    "huber": {},
+    "quantile": {},
+    "ransac": {},
+    "lasso_lars_ic": {},
+    "kernel_ridge": {},
 }
 
