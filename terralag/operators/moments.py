@@ -10,6 +10,7 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -425,22 +426,26 @@ class KernelFit:
         return self.offset + self.features(x) @ self.weights
 
 
-def orthogonal_waves(width: int, waves: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Normal frequencies in orthogonal blocks, each as a cosine and a sine: both lower the spread of the kernel's estimate."""
-    rng = np.random.default_rng(seed)
+def spread_waves(width: int, waves: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal frequencies from a shifted additive sequence, each as a cosine and a sine.
+
+    The sequence fills the cube evenly, so the kernel's estimate errs less than with independent draws.
+    """
     half = -(-waves // 2)
-    blocks = []
-    for _ in range(-(-half // width)):
-        turn, _ = np.linalg.qr(rng.standard_normal((width, width)))
-        blocks.append(turn * np.linalg.norm(rng.standard_normal((width, width)), axis=0))
-    ways = np.concatenate(blocks, axis=1)[:, :half]
+    ratio = 2.0
+    for _ in range(60):  # the root of x^(width + 1) = x + 1, whose powers make the sequence
+        ratio = (1.0 + ratio) ** (1.0 / (width + 1))
+    steps = ratio ** -np.arange(1.0, width + 1)
+    points = (np.random.default_rng(seed).uniform(size=width) + np.outer(np.arange(1, half + 1), steps)) % 1.0
+    quantile = NormalDist().inv_cdf
+    ways = np.array([[quantile(min(max(v, 1e-12), 1 - 1e-12)) for v in row] for row in points.tolist()]).T
     return np.concatenate([ways, ways], axis=1)[:, :waves], np.r_[np.zeros(half), np.full(half, -math.pi / 2)][:waves]
 
 
 def kernel_regression(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0, gamma: float | None = None, waves: int = 256, seed: int = 42) -> KernelFit:
     """Kernel ridge regression with a Gaussian kernel ``exp(-gamma |x - z|^2)`` on standardised columns.
 
-    The kernel is replaced by ``waves`` random cosines and sines, whose products approach it, so one pass of second moments
+    The kernel is replaced by ``waves`` cosines and sines, whose products approach it, so one pass of second moments
     and one solve of that size do the work. ``gamma`` is by default one over the number of columns.
     """
     columns = [*features, label]
@@ -451,7 +456,7 @@ def kernel_regression(df: DataFrame, features: Sequence[str], label: str, alpha:
     spread = np.sqrt(np.diag(m.cross)[:-1] / m.n)
     spread = np.where(spread > 0, spread, 1.0)
     gamma = 1.0 / len(features) if gamma is None else gamma
-    ways, phases = orthogonal_waves(len(features), waves, seed)
+    ways, phases = spread_waves(len(features), waves, seed)
     fit = KernelFit(m.mean[:-1], spread, ways * math.sqrt(2 * gamma), phases, np.zeros(waves), float(m.mean[-1]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
