@@ -54,14 +54,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete one path of :func:`new_path`; nothing may read it any more."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if path in _staged:
+        _staged.remove(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def drop_stages(spark: SparkSession) -> int:
     """Delete what :func:`new_path` gave out in this process; results that still read it must be written first."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    dropped = 0
-    while _staged:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        dropped += path.getFileSystem(hadoop).delete(path, True)
-    return dropped
+    return sum(drop_path(spark, path) for path in list(_staged))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
