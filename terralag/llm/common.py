@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralag.session import new_path
+from terralag.session import drop_path, new_path
 
 #: Text handled at once inside a task; the arrays made from it are some tens of times as large.
 SLICE_BYTES = 2 << 20
@@ -27,7 +27,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lost executors cost no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(tables: list[DataFrame]) -> None:
+    """Delete what :func:`stage` wrote for ``tables``, once nothing reads them any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df._staged_at)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -110,8 +110,8 @@ def test_similar_groups_are_exact(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([*range(12), *range(200, 212), 400])
 
 
-@pytest.mark.parametrize("block", [256, 20])
-def test_similar_groups_against_all_pairs(spark, docs_of, block):
+@pytest.mark.parametrize(("block", "hot"), [(256, 20_000), (20, 20_000), (256, 7)])
+def test_similar_groups_against_all_pairs(spark, docs_of, block, hot):
     """Edits of one base, alike through some of the others only, and short texts that share a fingerprint's words."""
     rng = random.Random(8)
     base, rows = [f"w{rng.randrange(4000)}" for _ in range(200)], []
@@ -128,7 +128,7 @@ def test_similar_groups_against_all_pairs(spark, docs_of, block):
     sets = [set(shingle_hashes(t, 5)) for _, t in rows]
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = {rows[i][0]: rows[k][0] for i, k in enumerate(smallest(len(rows), pairs))}
-    got = {r.doc_id: r.keep_id for r in simhash_dedup.similar_groups(docs_of(rows), block=block).collect()}
+    got = {r.doc_id: r.keep_id for r in simhash_dedup.similar_groups(docs_of(rows), block=block, hot=hot).collect()}
     assert got == want
 
 
