@@ -200,16 +200,59 @@ def test_suffix_tree_counts_and_probabilities(spark, docs_of):
         want = Counter((int.from_bytes(s[i - k : i], "big"), s[i]) for s in data for i in range(depth, len(s)))
         part = seen.filter(pa_equal(seen, k))
         assert dict(zip(zip(part["context"].to_pylist(), part["symbol"].to_pylist(), strict=True), part["n"].to_pylist(), strict=True)) == dict(want)
-    tree = suffix_tree.build(seen, depth, gain=2.0)
-    width = tree.logp.shape[1] - 1
-    mass = 10.0 ** tree.logp[:, :width].astype(float)
-    mass[:, -1] *= 257 - (width - 1)
-    assert np.allclose(mass.sum(axis=1), 1, atol=1e-4)
-    flat = suffix_tree.build(seen, depth, gain=math.inf)
-    assert len(flat.move) == 1 < len(tree.move)
     texts = [s[depth:] for s in data]
-    assert np.allclose(suffix_tree.score_all(tree, texts, depth, segment=4), suffix_tree.score_all(tree, texts, depth, segment=512))
-    assert suffix_tree.score_all(tree, texts, depth).sum() > suffix_tree.score_all(flat, texts, depth).sum()
+    totals = []
+    for gain in (0.0, 2.0, math.inf):
+        tree = suffix_tree.build(seen, depth, gain)
+        every = np.arange(tree.width)
+        for state in range(len(tree.link)):
+            logs, _ = tree.step(np.full(tree.width, state, np.int32), every)
+            assert (10.0**logs * np.r_[np.ones(tree.width - 1), 257 - (tree.width - 1)]).sum() == pytest.approx(1, abs=1e-5)
+        assert np.allclose(suffix_tree.score_all(tree, texts, depth, segment=4), suffix_tree.score_all(tree, texts, depth, segment=512))
+        totals.append(suffix_tree.score_all(tree, texts, depth).sum())
+    assert len(tree.link) == 1 and totals == sorted(totals, reverse=True)
+
+
+@pytest.mark.parametrize("gain", [0.0, 1.0, 6.0])
+def test_states_are_the_longest_suffixes(spark, docs_of, gain):
+    """States, smoothing and divergence against a recursion over plain dictionaries."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "abc", "b", "cab"]) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    depth, least = 4, 3
+    tree = suffix_tree.build(suffix_tree.string_counts(docs_of(rows), depth, least), depth, gain)
+    data = [b"\n" * depth + " ".join(t.split()).encode() + b"\n" for _, t in rows]
+    count = Counter((s[i - k : i], s[i : i + 1]) for s in data for i in range(depth, len(s)) for k in range(depth + 1))
+    total = Counter()
+    for (c, _), n in count.items():
+        total[c] += n
+    symbols = [bytes([x]) for x in range(257 - 1)]
+
+    def p(c, x):
+        """The smoothed probability after a context that is looked at."""
+        kinds = sum(1 for y in symbols if count[c, y] * 64 >= least)
+        base = p(c[1:], x) if c else 1 / 257
+        return (count[c, x] + kinds * base) / (total[c] + kinds)
+
+    looked_at = [c for c in total if total[c] >= least]
+    kept = {b""}
+    for c in looked_at:
+        if c and total[c] * sum(p(c, x) * math.log(p(c, x) / p(c[1:], x)) for x in symbols) + total[c] * p(c, b"\xff") * math.log(p(c, b"\xff") / p(c[1:], b"\xff")) >= gain:
+            kept |= {c[i:] for i in range(len(c))}
+    states = kept | {c[:i] for c in kept for i in range(len(c))}
+    assert len(tree.link) == len(states)
+    longest = lambda text, among: next(text[i:] for i in range(len(text) + 1) if text[i:] in among)
+    names = {0: b""}
+    for s in data:
+        at, want = np.zeros(1, np.int32), 0.0
+        for i in range(len(s)):
+            logs, to = tree.step(at, tree.classes[[s[i]]])
+            if i >= depth:
+                want = math.log10(p(longest(s[max(0, i - depth) : i], kept), s[i : i + 1]))
+                assert logs[0] == pytest.approx(want, abs=1e-5)
+            at = to
+            found = longest(s[max(0, i + 1 - depth) : i + 1], states)
+            if i >= depth:
+                assert names.setdefault(int(at[0]), found) == found
 
 
 def pa_equal(table, k):
@@ -223,7 +266,7 @@ def test_long_contexts_help_on_held_out_texts(spark, data):
     texts = [b" ".join(suffix_tree.tokens(r.text)) + b"\n" for r in docs.where("held").collect()]
     score = []
     for depth in (0, 1, 3, 6):
-        tree = suffix_tree.build(suffix_tree.string_counts(docs.where("not held"), depth, suffix_tree.P_MIN), depth)
+        tree = suffix_tree.build(suffix_tree.string_counts(docs.where("not held"), depth), depth)
         score.append(suffix_tree.score_all(tree, texts, depth).sum())
     assert score == sorted(score)
     got = {r.doc_id: r.score for r in queries.QUERIES["op3_suffix_tree_scores"](spark, data).collect() if r.held_out}
