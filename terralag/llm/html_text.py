@@ -3,13 +3,16 @@
 A tokenizer cuts a page into tags, comments and text; a tree builder adds implied tags (a paragraph ends at a
 block, list items, table parts and options end at their like, end tags close what is open inside them);
 visibility rules leave out what a browser does not show: head, script, style, template and other content without a
-box, ``hidden``, ``display:none``, ``visibility:hidden``, closed dialogs and hidden inputs. The renderer walks the
-tree without recursion and emits all other text: blocks on lines of their own, paragraphs and headings with an empty
-line around them, list items with a bullet or their number and indented by depth, ``pre`` as it stands, ``br`` and
-``hr`` as line breaks, and tables with cells padded to their columns. Cells wider than ``WIDE`` do not widen a
-column, so output stays in proportion to the input.
-
-Work is linear in the page: open elements are counted by name, so end tags that match nothing cost nothing, and
+box, ``hidden``, ``display:none``, ``visibility:hidden``, also by a class or id that a style element hides outside
+any ``@`` rule, closed dialogs and hidden inputs. The renderer walks the tree without recursion and emits all other
+text, labels of buttons and texts in place of images included: blocks on lines of their own, paragraphs and headings
+with an empty line around them, list items with a bullet or their number and indented by depth, ``pre`` as it stands,
+``br`` and ``hr`` as line breaks, and tables with cells padded to their columns, which spans of columns and rows shift.
+Blocks and lists inside a cell keep their lines: narrow cells stand side by side, and a row with a cell of several
+lines that is wide, as in pages that are laid out by a table, puts one cell below the other. Cells wider than ``WIDE`` do
+not widen a column, so output stays in proportion to the input.
+
+Work is linear in the page: the places of open elements are kept by name, so an end tag costs no search, and
 an unclosed quote or comment is looked for once.
 
 Defined cases: null and empty pages give an empty text; text outside any element, and pages cut off anywhere, are
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,11 +62,43 @@ _SPACE = re.compile(r"(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Spans count up to these; tables of more columns than the second have none.
+SPAN, COLUMNS = 1000, 200
+_NUMBER = re.compile(r"\s*([0-9]{1,4})")
+
+
 class Node:
-    __slots__ = ("children", "name", "shown", "start")
+    """An element; ``span`` is a cell's number of columns and rows."""
 
-    def __init__(self, name: str, shown: bool = True, start: int = 1):
-        self.name, self.shown, self.start, self.children = name, shown, start, []
+    __slots__ = ("children", "name", "shown", "span", "start")
+
+    def __init__(self, name: str, shown: bool = True, start: int = 1, span: tuple[int, int] = (1, 1)):
+        self.name, self.shown, self.start, self.span, self.children = name, shown, start, span, []
+
+
+def hidden_names(page: str) -> frozenset[str]:
+    """The ``.class`` and ``#id`` selectors that the page's style elements do not show, outside ``@`` rules."""
+    out, low, at = set(), page.lower() if "<style" in page or "<STYLE" in page or "<Style" in page else "", 0
+    while (at := low.find("<style", at)) >= 0:
+        begin, end = low.find(">", at), low.find("</style", at)
+        if begin < 0:
+            break
+        end = len(page) if end < 0 else end
+        depth, last, selector = 0, begin + 1, None
+        for m in _BRACE.finditer(page, begin + 1, end):
+            if m.group() == "{":
+                depth += 1
+                selector = page[last : m.start()] if depth == 1 else None
+            else:
+                if depth == 1 and selector is not None and _NONE.search(page[last : m.start()]):
+                    out.update(x.strip() for x in selector.split(",") if _SIMPLE.fullmatch(x.strip()))
+                depth, selector = max(depth - 1, 0), None
+            last = m.end()
+        at = max(end, begin)
+    return frozenset(out)
+
+
+_BRACE, _SIMPLE = re.compile(r"[{}]"), re.compile(r"[.#][A-Za-z_-][\w-]*")
 
 
 def _tag_end(page: str, at: int, gone: dict) -> int:
@@ -85,34 +120,33 @@ def _attributes(text: str) -> dict:
     return out
 
 
-def _visible(name: str, attributes: dict) -> bool:
+def _visible(name: str, attributes: dict, hidden: frozenset = frozenset()) -> bool:
     if name in HIDDEN or "hidden" in attributes or _NONE.search(attributes.get("style", "")):
         return False
+    if hidden and (f"#{attributes.get('id', '')}" in hidden or any(f".{c}" in hidden for c in attributes.get("class", "").split())):
+        return False
     return not (name == "dialog" and "open" not in attributes or name == "input" and attributes.get("type", "").lower() == "hidden")
 
 
 def tree(page: str) -> Node:
     """The page's tree; children are nodes and strings."""
-    root = Node("html")
-    stack, count = [root], Counter()
+    root, hidden = Node("html"), hidden_names(page)
+    stack, places = [root], defaultdict(list)  # the open elements, and the places of each name among them
     gone: dict = {}
 
     def add_text(text):
         if text:
             stack[-1].children.append(html.unescape(text))
 
+    def innermost(names) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
+
     def pop_to(names, stops=()):
         """Close the innermost open element of ``names``, unless one of ``stops`` is nearer."""
-        if not any(count[n] for n in names):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                for node in stack[i:]:
-                    count[node.name] -= 1
-                del stack[i:]
-                return
-            if stack[i].name in stops:
-                return
+        at = innermost(names)
+        if at and innermost(stops) <= at:
+            while len(stack) > at:
+                places[stack.pop().name].pop()
 
     at = 0
     while at < len(page):
@@ -143,25 +177,31 @@ def tree(page: str) -> Node:
         if m.group(1):
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif name == "p" and not count["p"]:
+            elif name == "p" and not places["p"]:
                 stack[-1].children.append(Node("p"))
             elif name not in ("html", "body"):
                 pop_to((name,), () if name in ("table", *_CELLS) else ("table", *_CELLS) if name not in ("tr", "thead", "tbody", "tfoot") else ("table",))
             continue
         attributes = _attributes(page[m.end() : at - 1]) if at - m.end() > 1 else {}
         if name in ("html", "body"):
-            root.shown &= _visible(name, attributes)
+            root.shown &= _visible(name, attributes, hidden)
             if name == "body":
                 pop_to(("head",))
             continue
         if name in _P_ENDS:
             pop_to(("p",), ("button", "table", *_CELLS))
-        if name in BLOCK and count["head"]:
+        if name in BLOCK and places["head"]:
             pop_to(("head",))
         if name in IMPLIED:
             pop_to(*IMPLIED[name])
         start = attributes.get("start", "1") if name == "ol" else "1"
-        node = Node(name, _visible(name, attributes), int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
+        node = Node(name, _visible(name, attributes, hidden), int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
+        if name in ("td", "th"):
+            node.span = tuple(min(max(int(m.group(1)), 1), SPAN) if (m := _NUMBER.match(attributes.get(a, ""))) else 1 for a in ("colspan", "rowspan"))
+        elif name == "img" and attributes.get("alt"):
+            node.children.append(attributes["alt"])
+        elif name == "input" and attributes.get("type", "").lower() in ("submit", "reset", "button") and attributes.get("value"):
+            node.children.append(attributes["value"])
         if not node.shown and name in BLOCK and _SPACE.search(attributes.get("style", "")):
             stack[-1].children.append(Node(name))  # takes its place all the same
         stack[-1].children.append(node)
@@ -172,8 +212,8 @@ def tree(page: str) -> Node:
                 node.children.append(html.unescape(page[at:stop]) if name == "textarea" else page[at:stop])
             at = _tag_end(page, close.end(), gone) if close else len(page)
         elif name not in VOID and not page.startswith("/", at - 2) or name in BLOCK and name != "hr":
+            places[name].append(len(stack))
             stack.append(node)
-            count[name] += 1
     return root
 
 
@@ -217,6 +257,16 @@ class _Lines:
         elif self.lines:
             self.gap = min(self.gap + 1, 1)
 
+    def line(self, s: str):
+        """A whole line as it is; an empty one asks for an empty line."""
+        self.end()
+        if s.strip():
+            self.word("")
+            self.now.append(s)
+            self.end()
+        elif self.lines:
+            self.gap = 1
+
     def pre(self, s: str):
         self.end()
         for line in s.expandtabs(8).replace("\r\n", "\n").strip("\n").split("\n"):
@@ -334,7 +384,7 @@ def render(root: Node) -> str:
             todo.extend((_OPEN, c, None) for c in reversed(x.children))
         elif info and info[0] == "cell":
             out.end()
-            frames[-1][1].append((info[1], " ".join(line.strip() for line in out.lines if line.strip())))
+            frames[-1][1].append((info[1], x.span, [line.rstrip() for line in out.lines]))
         elif x.name == "table":
             out, cells, _ = frames.pop()
             _lay_out(out, cells)
@@ -349,23 +399,56 @@ def render(root: Node) -> str:
     return "\n".join(line.rstrip() for line in out.lines)
 
 
-def _lay_out(out: _Lines, cells: list[tuple[int, str]]) -> None:
-    rows: dict[int, list[str]] = {}
-    for i, text in cells:
-        rows.setdefault(i, []).append(text)
-    widths: list[int] = []
-    for row in rows.values():
-        widths += [0] * (len(row) - len(widths))
-        for j, text in enumerate(row[:-1]):
-            if len(text) <= WIDE:
-                widths[j] = max(widths[j], len(text))
+def _placed(cells: list) -> list[list[tuple[int, tuple[int, int], list[str]]]]:
+    """Rows of ``(column, span, lines)``; what a span from above takes is left out."""
+    rows: dict[int, list] = defaultdict(list)
+    for i, span, lines in cells:
+        rows[i].append((span, lines))
+    spans = max((sum(c for (c, _), _ in row) for row in rows.values()), default=0) <= COLUMNS
+    out, taken = [], {}
+    for number, i in enumerate(sorted(rows)):
+        at, placed = 0, []
+        for (columns, down), lines in rows[i]:
+            while spans and at < COLUMNS and taken.get(at, 0) > number:
+                at += 1
+            if not spans:
+                columns = down = 1
+            placed.append((at, (columns, down), lines))
+            if down > 1:
+                taken.update(dict.fromkeys(range(at, at + columns), number + down))
+            at += columns
+        out.append(placed)
+    return out
+
+
+def _lay_out(out: _Lines, cells: list) -> None:
+    rows = _placed(cells)
+    widths: dict[int, int] = defaultdict(int)
+    for row in rows:
+        for at, (columns, _), lines in row[:-1]:
+            size = max(map(len, lines), default=0)
+            if columns == 1 and size <= WIDE:
+                widths[at] = max(widths[at], size)
+    offsets = [0]
+    for c in range(max((at for row in rows for at, _, _ in row), default=0)):
+        offsets.append(offsets[-1] + widths[c] + len(GAP))
     out.end(True)
-    for row in rows.values():
-        if any(row):
-            line = GAP.join([*(t.ljust(widths[j]) for j, t in enumerate(row[:-1])), row[-1]]).rstrip()
-            out.word("")
-            out.now.append(line)
-            out.end()
+    for row in rows:
+        height, size = max(len(lines) for _, _, lines in row), sum(len(x) for _, _, lines in row for x in lines)
+        narrow = all(len(x) <= WIDE for _, _, lines in row for x in lines)
+        if height > 1 and not (narrow and len(row) > 1 and height * (offsets[row[-1][0]] + WIDE) <= 8 * size + 2000):
+            for _, _, lines in row:
+                for line in lines:
+                    out.line(line)
+                out.end(True)
+            continue
+        for i in range(height):
+            text = ""
+            for at, _, lines in row:
+                part = lines[i] if i < len(lines) else ""
+                if part:
+                    text = (text + GAP if text else "").ljust(offsets[at]) + part
+            out.line(text)
     out.end(True)
 
 

@@ -53,9 +53,12 @@ class Packer:
         return (doc, row, start, total, ids[: 4 * n]), (doc, row, start + n, total, ids[4 * n :])
 
     def place(self, piece) -> None:
-        while len(piece[4]) >= 4 * self.size:
-            head, piece = self.split(piece, self.size)
-            self.emit([head])
+        doc, row, start, total, ids = piece
+        whole = len(ids) // (4 * self.size) * self.size
+        for at in range(0, whole, self.size):
+            self.emit([(doc, row, start + at, total, ids[4 * at : 4 * (at + self.size)])])
+        if whole:
+            piece = (doc, row, start + whole, total, ids[4 * whole :])
         n = len(piece[4]) // 4
         if not n:
             return

@@ -279,11 +279,40 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
    y</pre> tail < 5 <!-- c --><div>q</div>z<script>var x="</p>"</script><p style='visibility:hidden'>nn</p>end"""
 
 
+def test_packing_of_a_long_text():
+    packer, n = packing.Packer(1024, 4, 0), 4_000_000
+    begin = time.time()
+    packer.place((1, 0, 0, n, bytes(4 * n)))
+    assert time.time() - begin < 1 and len(packer.out) == n // 1024 and packer.open[0][0] == n % 1024
+
+
 def test_html_layout():
     want = "  - a\n  - b\n    3. x\n    4. y\n\nHead & er\n\none\n\ntwo\nthree\n\nA          Bee\nlong cell  2\n\n x\n   y\n\ntail < 5\nq\nz\n\nend"
     assert html_text.visible_text(PAGE) == want
 
 
+def test_html_cells_keep_blocks_lists_and_spans():
+    v = html_text.visible_text
+    assert v("<table><tr><td><h1>T</h1><p>one<p>two<ul><li>a<li>b</ul></table>") == "T\n\none\n\ntwo\n\n  - a\n  - b"
+    assert v("<table><tr><td><p>one<p>two<td><ul><li>a<li>b</ul></table>tail") == "one    - a\n       - b\ntwo\n\ntail"
+    assert v("<table><tr><td>menu<td><h1>Title</h1><p>" + "wide text " * 6 + "<p>second</table>") == "menu\n\nTitle\n\n" + ("wide text " * 6).strip() + "\n\nsecond"
+    assert v("<table><tr><th colspan=2>Head<th>x<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>1<td>2<td>3</table>") == "Head  x\na  b  c\n   d  e\n1  2  3"
+    assert v("<table><tr><td colspan=x>a<td colspan=0 rowspan=-1>b</table>") == "a  b"
+
+
+def test_html_names_hidden_by_styles_and_labels():
+    page = "<style>.x, #y { color: red; display:none } @media print { .z{display:none} .w{display:none} } .v .u{display:none}</style><style>.t{visibility:hidden"
+    page += "</style><p class='a x'>no<p id=y>no<p class='z w v u t'>yes <input type=submit value=Go> <input value=typed> <img alt='a cat'> <img>"
+    assert html_text.visible_text(page) == "yes Go a cat"
+
+
+@pytest.mark.parametrize("page", ["<li><table>" + "<b>" * 20_000 + "</li>" * 20_000, "<table>" + "<tr><td rowspan=1000>x" * 20_000, "<table><tr>" + "<td colspan=1000>x" * 20_000, "<style>" * 20_000, "<style>{" * 20_000])
+def test_html_time_grows_with_the_page(page):
+    begin = time.time()
+    html_text.visible_text(page)
+    assert time.time() - begin < 8
+
+
 def test_html_keeps_all_visible_words(spark, data):
     for r in spark.read.parquet(f"{data}/pages.parquet").collect():
         body = r.html[r.html.index("<body>") :]
