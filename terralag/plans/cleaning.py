@@ -9,6 +9,7 @@ from terralag.functions import scalars as s
 from terralag.operators import compare, folds, impute, outliers as out, scaling
 from terralag.operators import correlation as corr
 from terralag.operators import profile as prof
+from terralag.operators.pivots import impute_knn_pivots
 from terralag.operators.scoring import point_features, prediction_difference
 from terralag.plans import tables as t
 from terralag.plans.ingest import NEAREST_SQL, r
@@ -314,13 +315,41 @@ def nearest_fill_one_block(spark, d):
     return _keyed(got)
 
 
-@query("I3_nearest_fill_wide")
+BANDS = [c for c in t.PIXEL_COLUMNS if c.startswith("B")][:10]
+
+
+def wide_sql(k: int) -> str:
+    """Brute force over ten bands, each with gaps; distances are shared by all columns of a receiver."""
+    gaps = ", ".join(f"CASE WHEN (pixel_id + {i}) % 17 <> 0 THEN CAST({c} AS DOUBLE) END AS {c}" for i, c in enumerate(BANDS))
+    shared = " + ".join(f"CASE WHEN r.{c} IS NOT NULL AND s.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in BANDS)
+    total = " + ".join(f"coalesce((r.{c} - s.{c}) * (r.{c} - s.{c}), 0)" for c in BANDS)
+    lacking = " OR ".join(f"r.{c} IS NULL" for c in BANDS)
+    best = ", ".join(f"list_avg(arg_min(s_{c}, (dist, sid), {k}) FILTER (r_{c} IS NULL AND s_{c} IS NOT NULL)) AS {c}" for c in BANDS)
+    sides = ", ".join(f"r.{c} AS r_{c}, s.{c} AS s_{c}" for c in BANDS)
+    cells = ", ".join(f"round(coalesce(b.{c}, k.{c}, (SELECT avg({c}) FROM base)), 5) AS {c}" for c in BANDS)
+    pixels = ", ".join(f"{t.PIXEL_COLUMNS[c]} AS {c}" for c in BANDS)
+    return f"""WITH base AS (SELECT pixel_id, {gaps} FROM (SELECT c_custkey AS pixel_id, {pixels} FROM customer)),
+    d AS (SELECT r.pixel_id, s.pixel_id AS sid, sqrt({len(BANDS)}.0 / nullif({shared}, 0) * ({total})) AS dist, {sides} FROM base r, base s WHERE {lacking}),
+    k AS (SELECT pixel_id, {best} FROM d WHERE dist IS NOT NULL GROUP BY pixel_id)
+    SELECT b.pixel_id, {cells} FROM base b LEFT JOIN k ON k.pixel_id = b.pixel_id"""
+
+
+def _bands_with_gaps(spark, d):
+    rows = t.model_table(spark, d).select("pixel_id", *[F.col(c).cast("double").alias(c) for c in BANDS])
+    return rows.withColumns({c: F.when((F.col("pixel_id") + i) % 17 != 0, F.col(c)) for i, c in enumerate(BANDS)})
+
+
+@query("I3_nearest_fill_wide", wide_sql(5))
 def nearest_fill_wide(spark, d):
-    """Ten bands with gaps in every one, filled from blocks of random projections."""
-    bands = [c for c in t.PIXEL_COLUMNS if c.startswith("B")][:10]
-    rows = t.model_table(spark, d).select("pixel_id", *[F.col(c).cast("double").alias(c) for c in bands])
-    gaps = {c: F.when((F.col("pixel_id") + i) % 17 != 0, F.col(c)) for i, c in enumerate(bands)}
-    return impute.impute_knn_blocks(rows.withColumns(gaps), "pixel_id", bands, 5)
+    """Ten bands with gaps in every one, exactly, over blocks round pivots."""
+    got = impute_knn_pivots(_bands_with_gaps(spark, d), "pixel_id", BANDS, 5)
+    return got.select("pixel_id", *[r(c, 5).alias(c) for c in BANDS])
+
+
+@query("I3_nearest_fill_wide_blocks")
+def nearest_fill_wide_blocks(spark, d):
+    """The same table filled from blocks of random projections, which is approximate."""
+    return impute.impute_knn_blocks(_bands_with_gaps(spark, d), "pixel_id", BANDS, 5)
 
 
 @query("I4_iterative_fill")
