@@ -440,7 +440,37 @@ def quantile_fit_apply(spark, d):
     return got.select("okey", r("price", 4).alias("price"), r("value").alias("value"))
 
 
-@query("J4_quantile_normal")
+def _probit_sql(p: str) -> str:
+    """The normal quantile by the same rational approximation, in SQL."""
+
+    def horner(coefficients, x):
+        out = f"({coefficients[0]!r}::DOUBLE)"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + ({c!r}))"
+        return out
+
+    r, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    tail = lambda x: f"{horner(scaling._TAIL_NUM, x)} / {horner(scaling._TAIL_DEN, x)}"
+    clip = scaling._NORMAL_CLIP
+    return f"""greatest(least(CASE WHEN {p} <= 1e-7 THEN -{clip} WHEN {p} >= 1 - 1e-7 THEN {clip} WHEN {p} < {scaling._TAIL_AT} THEN {tail(low)}
+      WHEN {p} > 1 - {scaling._TAIL_AT} THEN -({tail(high)}) ELSE {r} * {horner(scaling._CENTRE_NUM, f"({r} * {r})")} / {horner(scaling._CENTRE_DEN, f"({r} * {r})")} END, {clip}), -{clip})"""
+
+
+def _normal_sql(c: str) -> str:
+    return f"""(WITH q AS (SELECT unnest(range(0, 100)) AS i, unnest(quantile_cont({c}, {[i / 99 for i in range(100)]})) AS v FROM {t.DENSE_SQL}),
+    u AS (SELECT v, min(i) / 99.0 AS g_first, max(i) / 99.0 AS g_last FROM q GROUP BY v),
+    s AS (SELECT *, lead(v) OVER (ORDER BY v) AS v2, lead(g_first) OVER (ORDER BY v) AS g2 FROM u),
+    p AS (SELECT i, (CASE WHEN x <= (SELECT min(v) FROM u) THEN 0 WHEN x >= (SELECT max(v) FROM u) THEN 1
+      WHEN x = s.v THEN (g_first + g_last) / 2 ELSE g_last + (g2 - g_last) * (x - s.v) / (v2 - s.v) END)::DOUBLE AS p
+      FROM (SELECT i, {c} AS x FROM base) d ASOF JOIN s ON d.x >= s.v)
+    SELECT i, round({_probit_sql("p")}, 6) AS {c} FROM p)"""
+
+
+@query(
+    "J4_quantile_normal",
+    f"""WITH base AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM {t.DENSE_SQL})
+    SELECT okey, a.qty, b.price, round(disc, 6) AS disc, round(tax, 6) AS tax FROM base JOIN {_normal_sql("qty")} a USING (i) JOIN {_normal_sql("price")} b USING (i)""",
+)
 def quantile_normal(spark, d):
     return _scaled(scaling.quantile_transform(t.dense(spark, d), ["qty", "price"], 100, "normal"))
 
