@@ -28,7 +28,7 @@ def folded(spark, d, k=3):
 def _fit_report(name: str, model: str, scaler=None, **params):
     """Fit on the training part, report the test metrics of the model and of the training mean.
 
-    Forests have the usual 100 trees and bags their 10 members; boosters have 20 rounds, a fifth of the usual.
+    Forests and boosters have the usual 100 trees, bags their 10 members.
     """
 
     def run(spark, d):
@@ -47,10 +47,10 @@ def _fit_report(name: str, model: str, scaler=None, **params):
 _fit_report("K1_extra_trees", "extra_trees", n_estimators=100, max_depth=10)
 _fit_report("K2_random_forest", "random_forest", n_estimators=100, max_depth=10, min_samples_split=4, max_features="sqrt")
 _fit_report("K3_bagging", "bagging", n_estimators=10, max_samples=0.8, max_features=0.8)
-_fit_report("K4_hist_gradient_boosting", "hist_gradient_boosting", max_iter=20, max_depth=5, learning_rate=0.1)
-_fit_report("K5_lightgbm", "lightgbm", n_estimators=20, num_leaves=31, learning_rate=0.1)
+_fit_report("K4_hist_gradient_boosting", "hist_gradient_boosting", max_iter=100, max_depth=5, learning_rate=0.1)
+_fit_report("K5_lightgbm", "lightgbm", n_estimators=100, num_leaves=31, learning_rate=0.1)
 _fit_report(
-    "K6_xgboost", "xgboost", n_estimators=20, max_depth=5, learning_rate=0.1, subsample=0.8, colsample_bytree=0.8, min_child_weight=2
+    "K6_xgboost", "xgboost", n_estimators=100, max_depth=5, learning_rate=0.1, subsample=0.8, colsample_bytree=0.8, min_child_weight=2
 )
 
 
