@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 ITERATIONS, TOLERANCE, MARGIN = 40, 1e-10, 1e-6
+#: Series up to this long are filtered by a matrix, longer ones by convolutions.
+MATRIX = 256
 
 
 def lag_polynomial(coefs, step: int, sign: float) -> np.ndarray:
@@ -71,6 +73,10 @@ class ProductModel:
         self.cuts = np.cumsum([p, sp, q, sq])
         self.size = int(self.cuts[-1]) + (x is not None)
         self.start = p + period * sp
+        n = len(w)
+        if n <= MATRIX:  # places in a series of coefficients, the last one standing for zero
+            at = np.arange(n)[:, None] - np.arange(n)
+            self.shifts = np.where(at < 0, n, at)
 
     def parts(self, coef: np.ndarray):
         return np.split(coef[: self.cuts[-1]], self.cuts[:-1])
@@ -81,12 +87,19 @@ class ProductModel:
         plain, seasonal = lag_polynomial(phi, 1, -1.0), lag_polynomial(sphi, self.period, -1.0)
         near, far = lag_polynomial(theta, 1, 1.0), lag_polynomial(stheta, self.period, 1.0)
         ar, ma, n = np.convolve(plain, seasonal), np.convolve(near, far), len(self.w)
-        back = inverse_series(ma, n)
+        back = inverse_series(ma, n) if len(ma) > 1 else None
 
         def filtered(series):
+            """Columns divided by the moving-average polynomial, with zeros before the first residual."""
             masked = series.copy()
             masked[: self.start] = 0.0
-            return np.convolve(masked, back)[:n]
+            if back is None:
+                return masked
+            if n <= MATRIX:
+                return np.append(back, 0.0)[self.shifts] @ masked
+            if masked.ndim == 1:
+                return np.convolve(masked, back)[:n]
+            return np.column_stack([np.convolve(c, back)[:n] for c in masked.T])
 
         raw = np.convolve(self.w, ar)[:n]
         if self.x is not None:
@@ -104,10 +117,10 @@ class ProductModel:
             for i in range(1, count + 1):
                 shifted = np.zeros(n)
                 shifted[i * step :] = series[: max(n - i * step, 0)]
-                columns.append(-filtered(shifted))
+                columns.append(shifted)
         if self.x is not None:
-            columns.append(-filtered(self.x))
-        return fit, np.column_stack(columns)[self.start :]
+            columns.append(self.x)
+        return fit, -filtered(np.column_stack(columns))[self.start :]
 
     def allowed(self, coef: np.ndarray) -> bool:
         _, _, theta, stheta = self.parts(coef)
