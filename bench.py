@@ -40,14 +40,18 @@ HEADLINE = [
     "I2_median_fill",
     "I3_nearest_fill_5",
     "I3_nearest_fill_10",
+    "I3_nearest_fill_wide",
     "I4_iterative_fill",
     "J4_quantile_normal",
     "J10_forward_selection",
+    "J10_forward_selection_linear_all",
     "K2_random_forest",
     "L2_grid_search",
     "L5_cross_validate_mean",
+    "L6_subset_search_linear_grid",
     "L10_method_matrix",
     "M1_order_search",
+    "M1_seasonal_products",
     "M4_rolling_forecast",
     "M6_hybrid_forecast",
     "feature_table_by_group",
