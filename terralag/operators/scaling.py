@@ -70,26 +70,28 @@ _TAIL_AT = 0.02425
 _NORMAL_CLIP = 5.19933758270342  # where the transformer cuts its normal output: a fixed value
 
 
+def _doubles(values: Sequence[float]) -> Column:
+    """A constant array, folded to one literal when the plan is optimised."""
+    return F.expr(f"CAST(split('{','.join(repr(float(v)) for v in values)}', ',') AS ARRAY<DOUBLE>)")
+
+
 def _horner(coefficients: Sequence[float], x: Column) -> Column:
-    out = F.lit(coefficients[0])
-    for c in coefficients[1:]:
-        out = out * x + F.lit(c)
-    return out
+    # written out, the four polynomials of a few columns make a method too long for the JIT
+    return F.aggregate(_doubles(coefficients), F.lit(0.0), lambda total, c: total * x + c)
 
 
 def probit(p: Column) -> Column:
     """Standard normal quantile of ``p``, clipped to +-5.2 (relative error about 1e-9)."""
     r = p - 0.5
-    centre = r * _horner(_CENTRE_NUM, r * r) / _horner(_CENTRE_DEN, r * r)
-    low, high = F.sqrt(-2.0 * F.ln(p)), F.sqrt(-2.0 * F.ln(1.0 - p))
-    value = (
-        F.when(p <= 1e-7, F.lit(-_NORMAL_CLIP))
-        .when(p >= 1 - 1e-7, F.lit(_NORMAL_CLIP))
-        .when(p < _TAIL_AT, _horner(_TAIL_NUM, low) / _horner(_TAIL_DEN, low))
-        .when(p > 1 - _TAIL_AT, -_horner(_TAIL_NUM, high) / _horner(_TAIL_DEN, high))
-        .otherwise(centre)
+    q = F.least(p, 1.0 - p)
+    side = F.sqrt(-2.0 * F.ln(q))
+    tail = (
+        F.when(q <= 1e-7, F.lit(-_NORMAL_CLIP))
+        .when(q < _TAIL_AT, _horner(_TAIL_NUM, side) / _horner(_TAIL_DEN, side))
     )
-    return F.greatest(F.least(value, F.lit(_NORMAL_CLIP)), F.lit(-_NORMAL_CLIP))
+    value = F.coalesce(F.when(p > 0.5, -tail).otherwise(tail), r * _horner(_CENTRE_NUM, r * r) / _horner(_CENTRE_DEN, r * r))
+    # greatest and least skip nulls
+    return F.when(p.isNotNull(), F.greatest(F.least(value, F.lit(_NORMAL_CLIP)), F.lit(-_NORMAL_CLIP)))
 
 
 def quantile_transform(df: DataFrame, columns: Sequence[str], n: int = 100, output: str = "normal") -> DataFrame:
@@ -106,51 +108,49 @@ def apply_quantiles(df: DataFrame, points: dict[str, list[float | None]], output
     """Map each column through the distribution given by its points, interpolating between them.
 
     A value that several points share gets the middle of their range. ``output`` is ``uniform`` or
-    ``normal``. Lookups are a binary search in the JVM (Bucketizer), not a scan of the points.
+    ``normal``. Lookups are a binary search in the JVM (Bucketizer), not a scan of the points, and all columns
+    go through the same few projections.
     """
-    out = df
-    for c, values in points.items():
-        if values[0] is None:
-            continue
-        grid = [i / (len(values) - 1) for i in range(len(values))]
+    known = {c: values for c, values in points.items() if values[0] is not None}
+    if not known:
+        return df
+    tables, uniform = {}, {}
+    for c, values in known.items():
         first, last = {}, {}
-        for v, g in zip(values, grid):
-            first.setdefault(v, g)
-            last[v] = g
+        for i, v in enumerate(values):
+            first.setdefault(v, i / (len(values) - 1))
+            last[v] = i / (len(values) - 1)
         xs = sorted(first)
-        x = F.col(c).cast("double")
         if len(xs) == 1:
-            uniform = F.when(x.isNotNull(), F.lit(0.0))
-            out = out.withColumn(c, probit(uniform) if output == "normal" else uniform)
-            continue
-        # one lookup struct per segment; each step is its own projection, so nothing is computed twice
-        segments = F.array(
-            *[
-                F.struct(
-                    F.lit(x0).alias("x0"),
-                    F.lit(x1).alias("x1"),
-                    F.lit(last[x0]).alias("g0"),
-                    F.lit(first[x1]).alias("g1"),
-                    F.lit((first[x0] + last[x0]) / 2).alias("middle"),
-                )
-                for x0, x1 in zip(xs, xs[1:])
-            ]
-        )
-        cut = Bucketizer(splits=[-inf, *xs, inf], inputCol="_x", outputCol="_k", handleInvalid="keep")
-        found = cut.transform(out.withColumn("_x", x))
-        inner = F.greatest(F.least(F.col("_k").cast("int"), F.lit(len(xs) - 1)), F.lit(1))
-        found = found.withColumn("_s", F.element_at(segments, inner))
-        share = F.try_divide(F.col("_x") - F.col("_s.x0"), F.col("_s.x1") - F.col("_s.x0"))
-        uniform = (
-            F.when(F.col("_x") <= xs[0], F.lit(0.0))
-            .when(F.col("_x") >= xs[-1], F.lit(1.0))
-            .when(F.col("_x") == F.col("_s.x0"), F.col("_s.middle"))
-            .when(F.col("_x").isNotNull(), F.col("_s.g0") + (F.col("_s.g1") - F.col("_s.g0")) * share)
+            uniform[c] = F.when(F.col(c).cast("double").isNotNull(), F.lit(0.0))
+        else:
+            tables[c] = (xs, [first[v] for v in xs], [last[v] for v in xs])
+    out, work = df, []
+    if tables:
+        place = {c: (f"_quantile_x{i}", f"_quantile_k{i}") for i, c in enumerate(tables)}
+        work = [n for pair in place.values() for n in pair]
+        cut = Bucketizer(
+            splitsArray=[[-inf, *xs, inf] for xs, _, _ in tables.values()],
+            inputCols=[x for x, _ in place.values()],
+            outputCols=[k for _, k in place.values()],
+            handleInvalid="keep",
         )
-        out = found.withColumn(c, uniform).drop("_x", "_k", "_s")
-        if output == "normal":
-            out = out.withColumn(c, probit(F.col(c)))
-    return out
+        out = cut.transform(out.withColumns({x: F.col(c).cast("double") for c, (x, _) in place.items()}))
+        # each step is its own projection, so nothing is computed twice
+        out = out.withColumns({k: F.greatest(F.least(F.col(k).cast("int"), F.lit(len(tables[c][0]) - 1)), F.lit(1)) for c, (_, k) in place.items()})
+        for c, (xs, first, last) in tables.items():
+            x, k = (F.col(n) for n in place[c])
+            x0, x1 = F.element_at(_doubles(xs), k), F.element_at(_doubles(xs), k + 1)
+            g0, g1 = F.element_at(_doubles(last), k), F.element_at(_doubles(first), k + 1)
+            middle = F.element_at(_doubles([(a + b) / 2 for a, b in zip(first, last)]), k)
+            uniform[c] = (
+                F.when(x <= xs[0], F.lit(0.0))
+                .when(x >= xs[-1], F.lit(1.0))
+                .when(x == x0, middle)
+                .when(x.isNotNull(), g0 + (g1 - g0) * F.try_divide(x - x0, x1 - x0))
+            )
+    out = out.withColumns(uniform).drop(*work)
+    return out.withColumns({c: probit(F.col(c)) for c in known}) if output == "normal" else out
 
 
 def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 3) -> DataFrame:

@@ -143,6 +143,20 @@ def test_probit(spark):
     assert got == pytest.approx([-5.199337582, -3.090232306, -1.959963985, 0.0, 1.959963985, 5.199337582], abs=1e-6)
 
 
+def test_quantile_transform_of_several_columns(spark):
+    """Gaps stay gaps, a column without values is left alone, one with a single value becomes the lowest point."""
+    rows = [(float(i), -float(i) if i % 3 else None, 7.0 if i % 2 else None, None) for i in range(101)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for output, low, middle in (("uniform", 0.0, 0.5), ("normal", -scaling._NORMAL_CLIP, 0.0)):
+        out = scaling.quantile_transform(df, ["a", "b", "c", "d"], 101, output)
+        assert out.columns == df.columns
+        got = {i: tuple(r) for i, r in enumerate(out.collect())}
+        assert got[0] == (pytest.approx(low), None, None, None)
+        assert got[50][0] == pytest.approx(middle, abs=1e-9) and got[51][1] is None
+        assert got[100][:2] == (pytest.approx(-low if low else 1.0), pytest.approx(low))
+        assert {r[2] for r in got.values()} == {None, low}
+
+
 def test_quantile_transform_of_shared_points(spark):
     df = spark.createDataFrame([(v,) for v in [1.0] * 50 + [2.0] * 50 + [None]], "x double")
     got = {r[0] for r in scaling.quantile_transform(df, ["x"], 100, "uniform").collect()}
