@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from terralag.operators.models import make_pipeline
 from terralag.operators.moments import FORWARD_SCHEMA
 from terralag.operators.tuning import fold_scores, summarise_folds
+from terralag.session import spread
 
 
 def importance_table(
     df: DataFrame, features: Sequence[str], label: str, model: str = "extra_trees", **params
 ) -> DataFrame:
     """``(feature, importance)``, most important first."""
-    fitted = make_pipeline(model, features, label, **params).fit(df)
+    fitted = make_pipeline(model, features, label, **params).fit(spread(df.select(*features, label)))
     weights = fitted.stages[-1].featureImportances.toArray()
     rows = [(f, float(w)) for f, w in zip(features, weights)]
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
@@ -41,7 +42,7 @@ def forward_selection(
     **params,
 ) -> DataFrame:
     """Cross-validate each prefix of ``ranked``; one row per prefix."""
-    data = df.select(*ranked, label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(df.select(*ranked, label, "fold")).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         for n in range(1, len(ranked) + 1):
