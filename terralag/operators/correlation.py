@@ -8,7 +8,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from terralag.operators.ordered import ROWS_PER_BUCKET, bucket_splits, running_total
+from terralag.operators.ordered import ROWS_PER_BUCKET, bucket_splits, running_total, running_totals
+
+BROADCAST_VALUES = 20_000  # distinct values up to which a table of ranks is sent to every task
 
 
 def safe_corr(x, y) -> Column:
@@ -56,18 +58,29 @@ def spearman_by_group(pairs: DataFrame, group: str, rows_per_bucket: int = ROWS_
 def conditional_ranks(
     df: DataFrame,
     column: str,
-    groups: Sequence[tuple[Column, Column]],
+    groups: Sequence[tuple[Column, Column | None]],
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    distinct: int | None = None,
 ) -> DataFrame:
     """``(v, ranks)``: per distinct value of ``column`` its average rank in each group.
 
     A group is (which rows count, what value the column takes there); the value may only depend on
-    ``column``. The table is read once and only distinct values are expanded by group and sorted.
+    ``column``, None is the column itself. The table is read once. Distinct values are sorted once if all groups take
+    the column itself, else they are expanded by group and sorted. A known number of ``distinct`` values that needs no
+    buckets saves the scans for their edges.
     """
-    splits = bucket_splits(df, F.col(column).cast("double"), rows_per_bucket)
+    few = distinct is not None and distinct <= rows_per_bucket
+    splits = [] if few else bucket_splits(df, F.col(column).cast("double"), rows_per_bucket)
     counts = df.groupBy(column).agg(*[F.count_if(rows).alias(f"_n{i}") for i, (rows, _) in enumerate(groups)])
+    if all(value is None for _, value in groups):
+        counts = counts.select(F.col(column).alias("v"), *[f"_n{i}" for i in range(len(groups))]).filter("v IS NOT NULL")
+        ranked = running_totals(counts, {f"_before{i}": f"_n{i}" for i in range(len(groups))}, "v", splits=splits)
+        ranks = [F.when(F.col(f"_n{i}") > 0, F.col(f"_before{i}") + (F.col(f"_n{i}") + 1) / 2) for i in range(len(groups))]
+        return ranked.select("v", F.array(*ranks).alias("ranks"))
     cells = [
-        F.struct(F.lit(i).alias("g"), value.cast("double").alias("w"), F.col(f"_n{i}").alias("n"))
+        F.struct(
+            F.lit(i).alias("g"), (F.col(column) if value is None else value).cast("double").alias("w"), F.col(f"_n{i}").alias("n")
+        )
         for i, (_, value) in enumerate(groups)
     ]
     long = counts.select(F.col(column).alias("v"), F.inline(F.array(*cells))).filter("n > 0 AND w IS NOT NULL")
@@ -78,29 +91,37 @@ def conditional_ranks(
     return long.join(ranked, ["g", "w"]).groupBy("v").agg(F.array(*per_value).alias("ranks"))
 
 
+def with_ranks(df: DataFrame, ranks: dict[str, DataFrame], distinct: dict[str, int]) -> DataFrame:
+    """``df`` with the ranks of each column as ``_r_<column>``; long tables are joined first, short ones are sent out."""
+    for c in sorted(ranks, key=lambda c: distinct[c] <= BROADCAST_VALUES):
+        table = ranks[c].withColumnsRenamed({"v": f"_v_{c}", "ranks": f"_r_{c}"})
+        if distinct[c] <= BROADCAST_VALUES:
+            table = F.broadcast(table)
+        df = df.join(table, df[c].eqNullSafe(table[f"_v_{c}"]), "left").drop(f"_v_{c}")
+    return df
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``(a, b, rho)`` for each pair, average ranks for ties, complete per pair.
 
     A column is ranked once over all its rows and once more per other column that has gaps; all its
-    rankings come from one pass and are joined back by one join.
+    rankings come from one pass over its values and are joined back by one join.
     """
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
-    nulls = doubles.agg(*[F.count_if(F.col(c).isNull()).alias(str(i)) for i, c in enumerate(columns)]).first()
-    gapped = [c for c, n in zip(columns, nulls) if n]
-    ranked, place = doubles, {}
+    seen = doubles.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
+    ).first()
+    gapped = [c for i, c in enumerate(columns) if seen[f"n{i}"]]
+    distinct = {c: seen[f"d{i}"] for i, c in enumerate(columns)}
+    ranks, place = {}, {}
     for c in columns:
         others = [None, *[o for o in gapped if o != c]]
         place |= {(c, o): i for i, o in enumerate(others, 1)}
-        if len(others) == 1:
-            plain = average_ranks(doubles, c, "rank", (), rows_per_bucket)
-            ranks = plain.select(F.col(c).alias(f"_v_{c}"), F.array("rank").alias(f"_r_{c}"))
-        else:
-            groups = [(F.lit(True) if o is None else F.col(o).isNotNull(), F.col(c)) for o in others]
-            ranks = conditional_ranks(doubles, c, groups, rows_per_bucket)
-            ranks = ranks.withColumnsRenamed({"v": f"_v_{c}", "ranks": f"_r_{c}"})
-        same = ranked[c].eqNullSafe(ranks[f"_v_{c}"]) if c in gapped else ranked[c] == ranks[f"_v_{c}"]
-        ranked = ranked.join(ranks, same, "left")
+        groups = [(F.lit(True) if o is None else F.col(o).isNotNull(), None) for o in others]
+        ranks[c] = conditional_ranks(doubles, c, groups, rows_per_bucket, distinct[c])
+    ranked = with_ranks(doubles, ranks, distinct)
 
     def rank(c: str, other: str) -> Column:
         # NULL where either side is missing: an unranked value leaves the pair incomplete

@@ -10,7 +10,7 @@ plain window is already bounded.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -95,11 +95,12 @@ def _bucketize(df: DataFrame, column: str, splits: list[float], out: str) -> Dat
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on ``keys`` where NULL keys match each other."""
+    """Left join on ``keys`` where NULL keys match each other; a bucket is never NULL."""
     renamed = carry.withColumnsRenamed({k: f"_c_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
-        cond = cond & df[k].eqNullSafe(renamed[f"_c_{k}"])
+        # plain equality lets the join read what a window by bucket has dealt
+        cond = cond & (df[k] == renamed[f"_c_{k}"] if k == "_bucket" else df[k].eqNullSafe(renamed[f"_c_{k}"]))
     return df.join(renamed, cond, "left").drop(*[f"_c_{k}" for k in keys])
 
 
@@ -195,20 +196,36 @@ def running_total(
     tie: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows strictly before this one in ``(order, tie)``."""
+    return running_totals(df, {out: value}, order, keys, rows_per_bucket, splits, tie)
+
+
+def running_totals(
+    df: DataFrame,
+    totals: Mapping[str, str],
+    order: str,
+    keys: Sequence[str] = (),
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    splits: list[float] | None = None,
+    tie: str | None = None,
+) -> DataFrame:
+    """:func:`running_total` of several columns (``{out: value}``) over one sort."""
     at = [order] + ([tie] if tie else [])
     if splits is None:
         splits = bucket_splits(df, _as_number(df, order), rows_per_bucket)
     if not splits:
         w = Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+        return df.withColumns({out: F.coalesce(F.sum(value).over(w), F.lit(0)) for out, value in totals.items()})
     cut = with_bucket(df, order, tie=tie, rows_per_bucket=rows_per_bucket, splits=splits)
-    sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    numbered = list(enumerate(totals.values()))
+    sums = cut.groupBy(*keys, "_bucket").agg(*[F.sum(value).alias(f"_sum{i}") for i, value in numbered])
     across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(across), F.lit(0))).drop("_sum")
+    bases = [F.coalesce(F.sum(f"_sum{i}").over(across), F.lit(0)).alias(f"_base{i}") for i, _ in numbered]
+    carry = sums.select(*keys, "_bucket", *bases)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    local = cut.withColumns({f"_local{i}": F.coalesce(F.sum(value).over(inside), F.lit(0)) for i, value in numbered})
     joined = _join_carry(local, carry, [*keys, "_bucket"])
-    return joined.withColumn(out, F.col("_base") + F.col("_local")).drop("_bucket", "_base", "_local")
+    done = joined.withColumns({out: F.col(f"_base{i}") + F.col(f"_local{i}") for i, out in enumerate(totals)})
+    return done.drop("_bucket", *[f"{part}{i}" for i, _ in numbered for part in ("_base", "_local")])
 
 
 def row_position(
