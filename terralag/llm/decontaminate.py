@@ -12,6 +12,8 @@ in some byte, so all of them are met; the distance is then taken in full. Last,
 Jaccard similarity of the shingles, as strings, decides.
 
 The benchmark is sent to the tasks in blocks of at most ``ITEM_BLOCK`` items, one pass over the documents each.
+A task hashes ``SLICE`` bytes of text at once, a longer text by itself, and looks up ``PAIRS`` pairs of windows and
+items at once, so what it holds does not grow with its rows.
 
 Defined cases: null, empty and blank texts and items match nothing; repeated documents give a row each and
 repeated items (rows with the same id) are looked up each by itself, the best one counts; of equal windows the first
@@ -31,6 +33,8 @@ from terralag.llm.common import slices, texts, union_all
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 20
 ITEM_BLOCK, REGION = 10_000, 1 << 15
+#: Text hashed at once, at some 30 bytes of arrays a byte; pairs of windows and items looked up at once.
+SLICE, PAIRS = 1 << 18, 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -42,10 +46,11 @@ def words_of(text: str) -> list[bytes]:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        ones = np.ones(max(n, 1 << 20), np.uint64)
-        up, down = ones * _P, ones * _PINV
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+        _powers.clear()
+        for base in (_P, _PINV):
+            row = np.full(1 << max(n - 1, 2 * SLICE - 1).bit_length(), base)
+            row[0] = 1
+            _powers.append(np.cumprod(row, out=row))
     return _powers[0], _powers[1]
 
 
@@ -53,14 +58,23 @@ class Words:
     """Texts as one row of bytes with word borders, and hashes of any run of words in it."""
 
     def __init__(self, texts_: list[str]):
-        split = [words_of(t) for t in texts_]
-        data = np.frombuffer(b" ".join(b" ".join(w) for w in split if w) + b" ", np.uint8)
+        joined, counts = [], [0]
+        for t in texts_:
+            w = words_of(t)
+            counts.append(len(w))
+            if w:
+                joined.append(b" ".join(w))
+        data = np.frombuffer(b" ".join([*joined, b""]) or b" ", np.uint8)
         up, self.down = _tables(len(data) + 1)
-        self.sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        sums = self.sums[1:]
+        np.add(data, 1, out=sums, dtype=np.uint64)
+        sums *= up[: len(data)]
+        np.cumsum(sums, out=sums)
         self.data = data
         self.stops = np.flatnonzero(data == 32)
         self.starts = np.r_[0, self.stops[:-1] + 1]
-        self.first = np.cumsum([0, *map(len, split)])
+        self.first = np.cumsum(counts)
 
     def hashes(self, width: int) -> np.ndarray:
         """A hash for the run of ``width`` words at each word; runs that reach into the next text count too."""
@@ -124,13 +138,17 @@ class Index:
     def lookup(self, box: dict, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(window, item, distance)`` for all pairs within the radius."""
         bytes_ = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-        met = np.zeros((len(prints), len(box["ids"])), bool)
-        for j in range(8):
-            met |= box["near"][j][bytes_[:, j]]
-        w, i = np.nonzero(met)
-        d = np.bitwise_count(prints[w] ^ box["prints"][i])
-        ok = d <= self.radius
-        return w[ok], i[ok], d[ok]
+        found, step = [], max(1, PAIRS // len(box["ids"]))
+        for at in range(0, max(len(prints), 1), step):
+            met = np.zeros((len(bytes_[at : at + step]), len(box["ids"])), bool)
+            for j in range(8):
+                met |= box["near"][j][bytes_[at : at + step, j]]
+            w, i = np.nonzero(met)
+            w += at
+            d = np.bitwise_count(prints[w] ^ box["prints"][i])
+            ok = d <= self.radius
+            found.append((w[ok], i[ok], d[ok]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -221,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
 def _search(sent, width, threshold, radius):
     def run(batches):
         index = Index(sent.value, width, threshold, radius)
-        for part in slices(batches) if index.sizes else ():
+        for part in slices(batches, limit=SLICE) if index.sizes else ():
             words = Words(texts(part))
             hashes = {k: words.hashes(k) for k in index.known}
             hit = {k: index.hits(h, k) for k, h in hashes.items()}

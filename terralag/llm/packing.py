@@ -27,6 +27,8 @@ from terralag.llm.common import slices, stage, texts, union_all
 from terralag.llm.tokens import PartCache, id_bytes
 
 SIZE, WINDOWS, FAN = 1024, 64, 256
+#: Text cut into parts and encoded at once.
+SLICE = 1 << 18
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _DDL = "doc_id long, row long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 #: A sequence id is level << 58 | partition << 34 | running number.
@@ -131,7 +133,7 @@ def _online(path: str, end_id: int, size: int, windows: int):
         part = TaskContext.get().partitionId()
         packer, cache, row = Packer(size, windows, part << _PART), PartCache(id_bytes(path)), 0
         end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             for doc, values in zip(b.column("doc_id").to_pylist(), cache.look_up(texts(b)), strict=True):
                 ids = b"".join([*values, end])
                 packer.place((doc, (part << _PART) + row, 0, len(ids) // 4, ids))

@@ -41,6 +41,8 @@ BUCKET_LIMIT = 1024
 #: Slots of the shingle counts; places of a text's bitmap at most; texts of a short list; texts and shingles of a block.
 SLOT_BITS, SLOT_ROW, BITMAP, SHORT = 22, 1 << 12, 1 << 17, 32
 SLOTS, TEXT_BLOCK, BLOCK_SHINGLES = 1 << SLOT_BITS, 256, 1_000_000
+#: Text or shingles handled at once inside a task: hashes in lists and their bits take some 100 bytes a byte of text.
+SLICE = 1 << 18
 #: Texts whose prefixes a task remembers having sent; texts of a key that go to one task.
 SENT, HOT = 1 << 16, 20_000
 
@@ -77,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fp)``, one row per row of ``docs``; texts never leave their partition."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             fp = fold([shingle_hashes(t, width) for t in texts(part)])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
@@ -172,12 +174,14 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 def _slot_counts(batches):
     """Texts per slot of the hashed shingles, in rows of ``SLOT_ROW`` slots."""
     counts = np.zeros(SLOTS, np.int32)
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE):
         for t in texts(part):
             np.add.at(counts, _slot(_distinct_shingles(t)), 1)
     rows = counts.reshape(-1, SLOT_ROW)
     used = np.flatnonzero(rows.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["place", "counts"])
+    for at in range(0, len(used), 64):
+        some = used[at : at + 64]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["place", "counts"])
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -211,7 +215,7 @@ def _sketch(sent, threshold: float, hot: int):
 
     def run(batches):
         counts, done = sent.value, set()
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             sizes, prefix, salts, bits, prints = [], [], [], [], []
             for t, th in zip(texts(part), part.column("th").to_pylist(), strict=True):
                 every = shingle_hashes(t, 5)
@@ -288,7 +292,7 @@ def _lists(batches):
 
 def _shingles(batches):
     """The distinct 5-word shingles of each text, hashed and sorted."""
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE):
         found = [_distinct_shingles(t).tobytes() for t in texts(part)]
         yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(found, pa.binary())], names=["th", "sh"])
 
@@ -300,7 +304,7 @@ def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 
 def _similar(threshold: float):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "sa", SLICE):
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 keep.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold))
