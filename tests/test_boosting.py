@@ -42,3 +42,21 @@ def test_draws_repeat_and_models_are_saved(table, tmp_path, monkeypatch):
 
 def test_candidates_keep_their_trees():
     assert [c["params"]["n_estimators"] for c in modelling.candidates()] == [300, 600, 600, 300, 300, 600, 400, 300, 300, 200]
+
+
+def test_unlimited_trees_of_many_rows(spark, monkeypatch):
+    """Above DEEP_ROWS a tree is arrays from one task; its leaves are those of Spark's tree."""
+    x = np.random.default_rng(4).integers(0, 400, size=(600, 3))
+    rows = [(*map(float, v), float(v[0] * 3 + v[1] % 7 + i / 600)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double").cache()
+    fit = lambda name, **p: make_pipeline(name, ["a", "b", "c"], "y", **p).fit(df)
+    want = fit("decision_tree")
+    monkeypatch.setattr(boosting, "DEEP_ROWS", 100)
+    monkeypatch.setattr(boosting, "CELLS", 300)
+    got, bag = fit("decision_tree"), fit("bagging", n_estimators=3, max_samples=0.8)
+    assert isinstance(got.stages[-1], boosting.BoostedTrees) and not isinstance(want.stages[-1], boosting.BoostedTrees)
+    assert sum(isinstance(s, boosting.BoostedTrees) for s in bag.stages[-1].stages) == 3
+    assert scored(got, df) == pytest.approx(scored(want, df), abs=1e-9)
+    y = np.array([r.y for r in df.collect()])
+    assert ((scored(bag, df) - y) ** 2).mean() < 0.02 * y.var()
+    assert not isinstance(fit("decision_tree", max_depth=5).stages[-1], boosting.BoostedTrees)
