@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from terralag.functions.metrics import METRICS
 from terralag.operators.models import make_pipeline
+from terralag.operators.steps import MedianImputer
 from terralag.session import spread
 
 FOLD_METRICS = ("r2", "mape_fraction")
@@ -193,17 +194,20 @@ def model_zoo_report(
     metrics = ("r2", "rmse", "mape_percent_eps")
     data = spread(df.select(*features, label, "fold")).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def one(name: str, params: Mapping) -> list[tuple]:
-        scores = fold_scores(
-            data, lambda: make_pipeline(name, features, label, **params), label, folds, metrics, parallelism=1
-        )
-        return [(name, s["fold"], *[s[m] for m in metrics]) for s in scores]
+    def medians(i: int):
+        return MedianImputer(features).fit(data.filter(F.col("fold") != i))
+
+    def one(name: str, params: Mapping, i: int) -> tuple:
+        fitted = make_pipeline(name, features, label, imputer=imputers[i], **params).fit(data.filter(F.col("fold") != i))
+        found = score(fitted.transform(data.filter(F.col("fold") == i)), label, metrics)
+        return (name, i, *[found[m] for m in metrics])
 
     try:
-        parts = _run(df, [lambda n=n, p=p: one(n, p) for n, p in zoo.items()], parallelism)
+        # all models of a fold are fitted on the same rows, which have the same medians
+        imputers = _run(df, [lambda i=i: medians(i) for i in range(folds)], parallelism)
+        rows = _run(df, [lambda n=n, p=p, i=i: one(n, p, i) for n, p in zoo.items() for i in range(folds)], parallelism)
     finally:
         data.unpersist()
-    rows = [row for part in parts for row in part]
     table = df.sparkSession.createDataFrame(rows, "model string, fold int, r2 double, rmse double, mape double")
     return classify_models(table, threshold)
 
